@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def partitions(spark: SparkSession) -> int:
 
 def pieces(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of a batch whose texts in `column` have about max_bytes together; one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > max_bytes:
