@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix, tokenfile
+from . import suffix, tokenfile, url_cascade
 from .common import fresh_path
 
 
@@ -30,6 +30,37 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules of the url query; the longest that fits decides.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Hosts that the url query lists besides, each for its subdomains too.
+LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x") for top in ("com", "net", "org")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of each page: the longest fitting rule's, else that of the listed hosts."""
+    pages = _read(spark, sf_dir, "pages")
+    hosts = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
+    return url_cascade.judge(pages, url_cascade.build_filter(pages, [url_cascade.Rule(*r) for r in URL_RULES], hosts))
+
+
+_URL_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(action, rule_host, rule_path) AS (VALUES {", ".join(map(str, URL_RULES))}),
+listed(listed_host) AS (VALUES {", ".join(f"('{h}')" for h in LISTED_HOSTS)}),
+numbered AS (SELECT row_number() OVER () AS n, * FROM parts),
+best AS (
+  SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+  FROM numbered JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY n)
+SELECT page_id, host, path, rule,
+  coalesce(action, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE host = listed_host OR suffix(host, '.' || listed_host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM numbered LEFT JOIN best USING (n)"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document, as read back from the written files."""
     import public_tokenizers
@@ -40,8 +71,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_token_files": op7_token_files, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op7_token_files": op7_token_files, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": _URL_SQL}

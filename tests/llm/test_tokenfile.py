@@ -33,25 +33,32 @@ def test_encoder_is_exact():
     assert not other.apart and np.frombuffer(other.encode(["The  cat"])[0], "<u2").tolist() == other.tokenizer.encode("The  cat").ids
 
 
-def test_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tokenfile, "FRAME_TOKENS", 50)
+def test_round_trip(spark, tmp_path):
     rows = [(7 * i % 101, x) for i, x in enumerate(ODD * 6)] + [(None, "no id"), (3, "same id"), (3, "same id")]
     spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r)[:4] for r in queries.op7_token_files(spark, str(tmp_path)).collect() if r.doc_id is not None)
     want = brute(rows)
     assert got == sorted(x for x in want if x[0] is not None)
-    # whole files: any zstandard reader gets the data, and a lookup decompresses one frame
-    tokenfile.write(spark.createDataFrame([(i, "some words " * 40) for i in range(30)], "doc_id long, text string").coalesce(1), f"{tmp_path}/files", PATH, 2)
-    files = [p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")) if p.stat().st_size]
-    assert sum(len(tokenfile.FileReader(f).index) for f in files) >= 30
-    for f in files:
-        reader = tokenfile.FileReader(f)
-        first = reader.index[-1][0]
-        assert reader.lookup([first])[first].tolist() == Tokenizer.from_file(PATH).encode("some words " * 40, add_special_tokens=False).ids + [2]
-        assert reader.decompressed == 1
-        with zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as s:
-            assert len(s.read()) == sum(x[1] for x in reader.sizes)
-    broken = bytearray(files[0])
+    assert sorted(x.n_tokens for x in tokenfile.read(spark, written(spark, rows, tmp_path), with_ids=True).where("size(ids) = n_tokens").collect()) == sorted(x[2] for x in want)
+
+
+def written(spark, rows, tmp_path):
+    tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/files", PATH, 2)
+    return f"{tmp_path}/files"
+
+
+def test_frames_stand_alone(monkeypatch):
+    monkeypatch.setattr(tokenfile, "FRAME_TOKENS", 50)
+    out, texts = tokenfile.FileWriter(3, "<u2"), {i: np.arange(i, 2 * i + 9, dtype="<u2") for i in range(40)}
+    (content,) = [x for i, t in texts.items() for x in out.add(i, t.tobytes())] + list(out.close())
+    reader = tokenfile.FileReader(content)
+    assert reader.part == 3 and len(reader.index) > 10 and reader.tokens == sum(map(len, texts.values()))
+    assert [(i, t.tolist()) for i, t in reader.documents()] == [(i, t.tolist()) for i, t in texts.items()]
+    reader = tokenfile.FileReader(content)
+    assert reader.lookup([17])[17].tolist() == texts[17].tolist() and reader.decompressed == 1
+    with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as s:
+        assert len(s.read()) == sum(x[1] for x in reader.sizes)
+    broken = bytearray(content)
     broken[reader.starts[0] + 20] ^= 255
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(tokenfile.FileReader(bytes(broken)).documents())
