@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix, tokenfile, url_cascade, warc
+from . import bottomk, suffix, tokenfile, url_cascade, warc
 from .common import fresh_path
 
 
@@ -61,6 +61,13 @@ SELECT page_id, host, path, rule,
 FROM numbered LEFT JOIN best USING (n)"""
 
 
+def op2_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of each document, of its edited text, and their likeness."""
+    found = bottomk.compare_edited(_read(spark, sf_dir, "documents"))
+    text = {"fingerprint": "sketch", "edited_fingerprint": "edited_sketch"}
+    return found.select("doc_id", "n_chars", "edited_sha256", *(bottomk.as_text(F.col(c)).alias(n) for n, c in text.items()), "near_edited", "near_next")
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record as read back from the written archives."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
@@ -76,7 +83,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
