@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, pieces, small_batches
 
-FRAME_TOKENS, FILE_BYTES, LEVEL = 1 << 16, 24 << 20, 3
+FRAME_TOKENS, FILE_BYTES, LEVEL = 1 << 16, 8 << 20, 3
 END = "\xb1\xea\x92\x8f"
 _INDEX_MAGIC, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E
 _ENTRY = struct.Struct("<qqIQ")
@@ -40,59 +40,80 @@ class Encoder:
     """Exact ids of whole texts. Where the tokenizer treats stretches between ASCII white space apart (lower-casing word
     BPE that drops white space), each distinct stretch is encoded once and remembered."""
 
-    #: Distinct stretches remembered; all are forgotten beyond that, which changes no result.
-    REMEMBERED = 400_000
+    #: Distinct stretches that are remembered and not looked up lately go beyond twice this number, which changes no result.
+    REMEMBERED = 300_000
     _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    _TAIL = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+    #: A full stop or comma after anything but an ASCII letter or digit, a letter from U+00C0 to U+00FF, or white space.
+    _JOINED_SIGN = re.compile(rb"[.,](?:(?<=[!-/:-@\[-`{-\x7f\x00-\x08\x0e-\x1f].)|(?<=[\x80-\xff].)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         plan = json.loads(self.tokenizer.to_str())
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
         self.special = [x["content"].lower() for x in plan["added_tokens"]]
         kinds = [x["type"] for x in (plan["normalizer"] or {}).get("normalizers", [])]
         steps = (plan["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.apart = kinds == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": self._WORD_PATTERN} and steps[0].get("invert") is True
+        suffix = plan["model"].get("end_of_word_suffix") or None
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of stretches of letters, encoded together and parted where a word ends."""
+        out = []
+        for n in range(0, len(words), 500):
+            part = words[n : n + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+            else:  # some letter changes its kind when it is lower-cased
+                out += self._raw(part)
+        return out
 
     def _learn(self, stretches: set[bytes]) -> None:
-        if len(self.known) + len(stretches) > self.REMEMBERED:
-            self.known.clear()
-        known, parts, new = self.known, {}, set()
-        for s in stretches - known.keys():
-            # letters, then ASCII signs without an apostrophe: the pattern always parts them
-            if m := self._TAIL.fullmatch(s):
-                parts[s] = m.groups()
-                new.update(x for x in m.groups() if x not in known)
-            else:
-                new.add(s)
-        new = list(new)
-        known.update(zip(new, self._raw([x.decode() for x in new])))
-        known.update((s, known[a] + known[b]) for s, (a, b) in parts.items())
+        if len(self.known) > self.REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = stretches - self.known.keys()
+        found = new & self.older.keys()
+        self.known.update((s, self.older[s]) for s in found)
+        new = list(new - found)
+        texts = [s.decode() for s in new]
+        for letters, encode in ((True, self._words), (False, self._raw)):
+            at = [i for i, t in enumerate(texts) if t.isalpha() is letters]
+            self.known.update(zip([new[i] for i in at], encode([texts[i] for i in at])))
+
+    def _stretches(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        # ASCII letters may be lower-cased first unless a combining mark (U+0300 to U+036F) could join them
+        if b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
+        # a sign that follows a letter or digit begins a stretch of its own, so "word" and "word," share an entry
+        if b"'" not in raw and not self._JOINED_SIGN.search(raw):
+            raw = raw.replace(b".", b" .").replace(b",", b" ,")
+        return raw.split()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of this encoder's width."""
         texts = list(texts)
         if not self.apart:
             return self._raw(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        rows, whole = [], []
-        for i, t in enumerate(texts):
-            if any(x in t.lower() for x in self.special):
-                whole.append(i)
-                continue
-            raw = t.encode()
-            # ASCII letters may be lower-cased first unless a combining mark (U+0300 to U+036F) could join them
-            rows.append((i, (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()))
-        self._learn({s for _, r in rows for s in r})
+        whole = [i for i, t in enumerate(texts) if any(x in t.lower() for x in self.special)]
+        apart = set(range(len(texts))).difference(whole)
+        rows = [self._stretches(t) if i in apart else [] for i, t in enumerate(texts)]
+        self._learn(set().union(*rows))
         known = self.known
-        for i, r in rows:
-            out[i] = b"".join([known[s] for s in r])
+        out = [b"".join([known[s] for s in r]) for r in rows]
         for i, b in zip(whole, self._raw([texts[i] for i in whole])):
             out[i] = b
         return out
