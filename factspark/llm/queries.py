@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, suffix, tokenfile, url_cascade, warc
+from . import bottomk, mixing, suffix, tokenfile, url_cascade, warc
 from .common import fresh_path
 
 
@@ -15,6 +15,22 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The mixture's tree: a source's domain is its number's remainder by 4.
+DOMAINS = ["web", "books", "code", "news"]
+MIX_LEVELS = [
+    ("domain", lambda: F.get(F.array(*map(F.lit, DOMAINS)), F.pmod(F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("int"), F.lit(4)))),
+    ("lang", lambda: F.col("lang")),
+    ("source", lambda: F.col("source")),
+]
+MIX_WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("code",): 1.0, ("news",): 2.0, **{(d, "en"): 5.0 for d in DOMAINS}, **{(d, "de"): 2.0 for d in DOMAINS}}
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for a mixture of half the corpus's tokens, a scarce leaf up to four times."""
+    found = mixing.mix(_read(spark, sf_dir, "documents"), MIX_LEVELS, share=0.5, weights=MIX_WEIGHTS, epochs=4, seed=17)
+    return found.select("doc_id", F.col("mix_leaf").alias("leaf"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that stand in a benchmark window, and the items they come from."""
     items = suffix.read_items(_read(spark, sf_dir, "benchmark"))
@@ -83,7 +99,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op8_mixture": op8_mixture, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
