@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, mixing, suffix, tokenfile, url_cascade, warc
+from . import bottomk, mixing, sigtree, suffix, tokenfile, url_cascade, warc
 from .common import fresh_path
 
 
@@ -84,6 +84,11 @@ def op2_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", *(bottomk.as_text(F.col(c)).alias(n) for n, c in text.items()), "near_edited", "near_next")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document, linked at a Jaccard similarity of 0.9 of its 3-word shingles."""
+    return sigtree.join(_read(spark, sf_dir, "documents"), 3, 9, 10)
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record as read back from the written archives."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
@@ -99,7 +104,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op8_mixture": op8_mixture, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op4_ngram_join": op4_ngram_join, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op8_mixture": op8_mixture, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
