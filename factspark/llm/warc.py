@@ -123,23 +123,21 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, id_column: str = "p
     small_batches(spark)
     rows = pages.select(F.col(id_column).cast("long").alias("i"), F.col(url_column).alias("u"), F.encode(F.coalesce(html_column, F.lit("")), "UTF-8").alias("p"))
     rows = rows.withColumn("d", F.sha1("p"))
-    small = rows.where(F.octet_length("p") >= least_bytes).select("i", "d")
+    # a key without nulls: with a null-safe join the dealt texts would move again
+    rows = rows.withColumn("k", F.concat_ws("|", "d", F.coalesce(F.col("i").cast("string"), F.lit("null"))))
+    small = rows.where(F.octet_length("p") >= least_bytes).select("k", "i", "d")
     groups = small.groupBy("d").agg(F.min("i").alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1 and r is not null").drop("n")
-    revisits = small.join(groups, "d").where(~F.col("i").eqNullSafe(F.col("r"))).distinct()
+    revisits = small.join(groups, "d").where(~F.col("i").eqNullSafe(F.col("r"))).select("k", "r").distinct()
     n = max(partitions(spark), rows.rdd.getNumPartitions())
-    dealt = rows.repartition(n, "i", "d").alias("a").join(revisits.alias("b"), F.col("a.i").eqNullSafe(F.col("b.i")) & (F.col("a.d") == F.col("b.d")), "left")
-    dealt = dealt.select("a.i", "a.u", "a.p", "b.r").sortWithinPartitions("i")
+    dealt = rows.select("k", "i", "u", "p").repartition(n, "k").join(revisits, "k", "left").sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copies: dict[str, int] = {}
-        last: object = ()
+        last, copy = None, 0
         for batch in batches:
             out = []
-            for i, u, p, r in zip(*(batch.column(k).to_pylist() for k in ("i", "u", "p", "r"))):
-                if i != last:
-                    copies, last = {}, i
+            for k, i, u, p, r in zip(*(batch.column(k).to_pylist() for k in ("k", "i", "u", "p", "r"))):
+                last, copy = k, copy + 1 if k == last else 0
                 digest = base32_sha1(p)
-                copy = copies[digest] = copies.get(digest, -1) + 1
                 out.extend(response_records(i, copy, u, p, digest) if r is None else [revisit_record(i, copy, u, len(p), digest, r)])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
