@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, mixing, sigtree, suffix, tokenfile, url_cascade, warc
+from . import bottomk, cotrain, mixing, sigtree, suffix, tokenfile, url_cascade, warc
 from .common import fresh_path
 
 
@@ -89,6 +89,13 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.join(_read(spark, sf_dir, "documents"), 3, 9, 10)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probabilities of good quality and of toxicity for each document, and whether it is accepted."""
+    docs = _read(spark, sf_dir, "documents")
+    found = cotrain.score(docs, cotrain.train(docs, _read(spark, sf_dir, "labels")))
+    return found.withColumn("accepted", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record as read back from the written archives."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
@@ -104,7 +111,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op4_ngram_join": op4_ngram_join, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op8_mixture": op8_mixture, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op4_ngram_join": op4_ngram_join, "op5_quality": op5_quality, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op8_mixture": op8_mixture, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
