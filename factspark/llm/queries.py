@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, cotrain, mixing, sigtree, suffix, tokenfile, url_cascade, warc
+from . import bottomk, cotrain, ctw, mixing, sigtree, suffix, tokenfile, url_cascade, warc
 from .common import fresh_path
 
 
@@ -31,6 +31,11 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("mix_leaf").alias("leaf"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of each document under a context tree of the training documents, and under their word counts."""
+    return ctw.score(_read(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that stand in a benchmark window, and the items they come from."""
     items = suffix.read_items(_read(spark, sf_dir, "benchmark"))
@@ -111,7 +116,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op4_ngram_join": op4_ngram_join, "op5_quality": op5_quality, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op8_mixture": op8_mixture, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op2_bottomk": op2_bottomk, "op4_ngram_join": op4_ngram_join, "op5_quality": op5_quality, "op6_warc_round_trip": op6_warc_round_trip, "op7_token_files": op7_token_files, "op8_mixture": op8_mixture, "op9_context_tree": op9_context_tree, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

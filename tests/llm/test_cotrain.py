@@ -28,10 +28,10 @@ def made(n, seed=3):
 def test_held_out_accuracy_and_exchange(spark):
     docs, labels = made(1500)
     df = spark.createDataFrame(docs, SCHEMA)
-    model = cotrain.train(df, spark.createDataFrame(labels[:500], "doc_id long, quality int, toxic int"))
+    model = cotrain.train(df, spark.createDataFrame(labels[:1000], "doc_id long, quality int, toxic int"))
     assert model.heads["quality"].exchanged[0][0] > 100  # the text view taught the metadata view
     got = {r.doc_id: (r.p_quality >= 0.5, r.p_toxic >= 0.5) for r in cotrain.score(df, model).collect()}
-    right = [np.mean([got[i][k] == bool(x[k]) for i, *x in labels[500:]]) for k in (0, 1)]
+    right = [np.mean([got[i][k] == bool(x[k]) for i, *x in labels[1000:]]) for k in (0, 1)]
     assert right[0] > 0.98 and right[1] > 0.97, right
     # the metadata view has learnt that the farm's pages are poor
     row, bucket = cotrain.metadata_features(["en", "en"], ["farm", "site1"], [300, 300])
