@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit
+
+MAX_BITS = 1 << 28
 #: Rows of an Arrow batch; texts may be long, so far fewer than Spark's own default.
 BATCH_ROWS = 1000
 
@@ -59,9 +62,35 @@ def pieces(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 4 <<
         yield batch.slice(start)
 
 
-def count_of(total: float, each: float, least: int = 1) -> int:
-    return max(least, math.ceil(total / each))
+def only_ids(rows: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose id is not in ids (one long column): what a bitmap of hashed ids lets through.
+
+    It comes before a join on the id, so that few texts are shuffled that the join would drop. The bitmap has 16 bits
+    for each id, MAX_BITS at most, whatever the input.
+    """
+    count = max(1, ids.count())
+    words = min(MAX_BITS, 1 << (16 * count - 1).bit_length()) >> 6
+    words = max(1, words)
+
+    def place(values: pa.Array) -> np.ndarray:
+        return textkit.mix(pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(64 * words)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(words, np.uint64)
+        for batch in batches:
+            p = place(batch.column(0))
+            np.bitwise_or.at(bits, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["word", "bits"])
+
+    found = ids.mapInArrow(gather, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = place(batch.column(id_column))
+            yield batch.filter(pa.array((shared.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
-def long_id(column: str = "doc_id"):
-    return F.col(column).cast("long").alias(column)
+    return rows.mapInArrow(keep, rows.schema)

@@ -1,8 +1,9 @@
 """Jaccard similarity join of word shingles with signature trees.
 
 1. Documents with one set are one class; its smallest id stands for it.
-2. Sets that link must share one of the first n - ceil(t * n) + 1 shingles in any fixed order; here the order of a
-   hash, with frequent shingles put last. Classes that share such a shingle meet in the cluster of the smallest of them.
+2. Sets that link must share one of the first n - ceil(t * n) + 1 shingles in any fixed order; here those of rare words
+   come first, then the hash decides, and frequent shingles are last. Classes that share such a shingle meet in the
+   cluster of the smallest of them.
 3. A cluster, or a bounded block of a large one, becomes a signature tree: nodes hold the OR of their members' token
    bitmaps and the range of their sizes. Traversing the tree against itself leaves out node pairs whose largest possible
    overlap is too small, and pairs whose members are already connected; what reaches the leaves is verified exactly.
@@ -14,6 +15,7 @@ No step drops or caps candidates: each pair of different components that could l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import cut, pieces, small_batches
+from .common import cut, only_ids, pieces, small_batches
 from .graph import components
 
 BLOCK, FANOUT = 256, 16
-#: At most so many frequent shingles are put last in the order; their list goes to all tasks.
+#: At most so many frequent words and shingles are told apart in the order; their lists go to all tasks.
 FREQUENT = 1 << 18
 LEAST_FREQUENT = 32
 
@@ -36,19 +38,74 @@ def _sets(part: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
+@dataclass
+class Order:
+    """The common order of shingles: those not frequent first, then by the words' frequencies, then by hash."""
+
+    words: np.ndarray
+    classes: np.ndarray
+    frequent: np.ndarray
+
+    def prefixes(self, part: pa.RecordBatch, text: str, k: int, num: int, den: int, more: float = 1.0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The set of each text, and its first shingles in this order: as many as a link needs, times `more`."""
+        words = textkit.Words(part.column(text))
+        hashes, first = textkit.shingles(words, k)
+        known = np.zeros(len(words.hashes) + k, np.int16)
+        if len(self.words):
+            at = np.searchsorted(self.words, words.hashes)
+            at[at == len(self.words)] = 0
+            known[: len(words.hashes)] = np.where(self.words[at] == words.hashes, self.classes[at], 0)
+        place = np.arange(len(hashes)) - np.repeat(first[:-1] - words.first[:-1], np.diff(first))
+        last = np.repeat(words.first[1:], np.diff(first))
+        rank = sum(np.where(place + j < last, known[np.minimum(place + j, len(known) - 1)], 0) for j in range(k))
+        if len(self.frequent):
+            at = np.searchsorted(self.frequent, hashes)
+            at[at == len(self.frequent)] = 0
+            rank = rank + np.where(self.frequent[at] == hashes, 1 << 12, 0)
+        sets, kept = [], []
+        for a, b in zip(first[:-1], first[1:]):
+            s, at = np.unique(hashes[a:b], return_index=True)
+            size = int(_prefix(len(s), num, den) * more)
+            sets.append(s)
+            kept.append(s[np.argsort(rank[a:b][at], kind="stable")[:size]])
+        return sets, kept
+
+
 def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def _longest_first(s: np.ndarray, frequent: np.ndarray, size: int) -> np.ndarray:
-    """The first shingles of a sorted set in the common order."""
-    if not len(frequent):
-        return s[:size]
-    # a set's own frequent shingles, without looking up all of it where its beginning is enough
-    at = np.searchsorted(frequent, s)
-    at[at == len(frequent)] = 0
-    late = frequent[at] == s
-    return np.concatenate((s[~late][:size], s[late]))[:size]
+def _word_classes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent words and the logarithms of their counts. Any such list gives a right order, so words that are rare in
+    each task's texts needn't be counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found = np.unique(textkit.Words(part.column("text")).hashes, return_counts=True)
+                keys, at = np.unique(np.concatenate((keys, found[0])), return_inverse=True)
+                n = np.bincount(at, np.concatenate((n, found[1])), minlength=len(keys)).astype(np.int64)
+        often = n >= 4
+        yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(keys[often])), pa.array(n[often])], ["w", "n"])
+
+    counted = cut(docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    found = _most_frequent(counted, "w", "n", FREQUENT)
+    keys = found["w"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.log2(found["n"].to_numpy()[order]).astype(np.int16)
+
+
+def _most_frequent(counted: DataFrame, key: str, n: str, most: int) -> pa.Table:
+    """The rows of the largest counts, `most` at most."""
+    step = F.floor(F.log2(n) * 4)
+    total, least = 0, 1 << 20
+    for p, rows in sorted(((r["p"], r["c"]) for r in counted.groupBy(step.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True):
+        total += rows
+        if total > most:
+            break
+        least = p
+    return counted.where(step >= least).select(key, n).toArrow()
 
 
 class Tree:
@@ -159,30 +216,21 @@ def _over_blocks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _frequent(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
-    """Shingles that many sets have among the first in the order of the hash: the most frequent of them, FREQUENT at most.
-
-    Any such list gives a right order; those that frequent ones make room for are counted too, up to a quarter more.
-    """
+def _order(docs: DataFrame, k: int, num: int, den: int) -> Order:
+    """The order for these documents: frequent shingles are those that many sets would otherwise have among their first
+    (up to a quarter more are counted, as others make room)."""
+    order = Order(*_word_classes(docs), np.zeros(0, np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                kept = [s[: _prefix(len(s), num, den) * 5 // 4 + 1] for s in _sets(part, "text", k)]
+                kept = shared.value.prefixes(part, "text", k, num, den, 1.25)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.concatenate(kept or [np.zeros(0, np.uint64)])))], ["s"])
 
-    counted = cut(docs.select("text").mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= LEAST_FREQUENT), "frequent")
-    steps = sorted(((r["p"], r["n"]) for r in counted.groupBy(F.floor(F.log2("count") * 4).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for p, n in steps:
-        total += n
-        if total > FREQUENT:
-            break
-        least = p
-    if least is None:
-        return np.zeros(0, np.uint64)
-    found = counted.where(F.floor(F.log2("count") * 4) >= least).select("s").toArrow()["s"].to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    counted = docs.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    found = _most_frequent(cut(counted, "frequent"), "s", "n", FREQUENT)
+    return Order(order.words, order.classes, np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64)))
 
 
 def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -196,14 +244,13 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(rows, k, num, den))
+    shared = spark.sparkContext.broadcast(_order(rows, k, num, den))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                sets = _sets(part, "text", k)
+                sets, kept = shared.value.prefixes(part, "text", k, num, den)
                 prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
-                kept = [_longest_first(s, frequent.value, _prefix(len(s), num, den)) for s in sets]
                 values = pa.array(textkit.signed(np.concatenate(kept)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in kept]))), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists], ["id", "n", "f1", "f2", "prefix"])
@@ -226,7 +273,7 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     placed = cut(placed.select("leader", "b2", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("shares"))).cast("long").alias("b3"), "rep", "n", large.alias("large")), "placed")
     blocks = placed.where("large").select("leader", "b2", "b3").distinct()
     seats = placed.select("leader", "b2", "b3", "rep").unionByName(blocks.select("leader", "b2", "b3", F.col("leader").alias("rep"))).distinct()
-    texts = rows.where("id is not null")
+    texts = only_ids(rows.where("id is not null"), "id", seats.select("rep"))
     first = seats.join(texts, seats["rep"] == texts["id"]).select(F.col("leader").alias("b1"), "b2", "b3", "id", "text", F.col("id").alias("label"), F.lit(0).alias("side"))
     edges = cut(_over_blocks(first, k, num, den), "links")
     found = components(edges)
@@ -242,6 +289,7 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
         pairs = cut(pairs.withColumn("p", F.xxhash64("leader", "kx", "ky")), "pairs")
         ends = pairs.select("leader", "p", F.col("kx").alias("k"), F.lit(0).alias("side")).unionByName(pairs.select("leader", "p", F.col("ky").alias("k"), F.lit(1).alias("side")))
         seats = big.withColumn("k", F.struct("b2", "b3")).join(ends, ["leader", "k"]).select("leader", "p", "side", "rep", "label")
+        texts = only_ids(rows.where("id is not null"), "id", seats.select("rep"))
         second = seats.join(texts, seats["rep"] == texts["id"]).select(F.col("leader").alias("b1"), F.col("p").alias("b2"), F.lit(0).cast("long").alias("b3"), "id", "text", "label", "side")
         # labels are nodes too: an edge to a label is an edge to its component
         found = components(edges.unionByName(_over_blocks(second, k, num, den)))
