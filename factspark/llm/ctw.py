@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from . import textkit
 from .common import cut, pieces, small_batches
 
-DEPTH, MAX_GRAMS, MAX_WORDS = 5, 1 << 19, 1 << 20
+DEPTH, MAX_GRAMS, MAX_WORDS = 5, 1 << 18, 1 << 19
+#: Texts are worked on in slices of so many bytes: a gram takes eight bytes in each of several arrays.
+SLICE_BYTES, HELD = 1 << 20, 1_500_000
 _B = np.uint64(8)
 
 
@@ -219,13 +221,13 @@ def train(docs: DataFrame, depth: int = DEPTH, most: int = MAX_GRAMS) -> tuple[M
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE_BYTES):
                 grams, first, count = sequence(part.column("text"), depth)
                 held[0].append(np.unique(grams[_places(first, count)], return_counts=True))
                 words = textkit.Words(part.column("text")).hashes
                 held[1].append(np.unique(np.append(words, np.zeros(part.num_rows, np.uint64)), return_counts=True))
                 for kind in (0, 1):
-                    if sum(len(k) for k, _ in held[kind]) > 4_000_000:
+                    if sum(len(k) for k, _ in held[kind]) > HELD:
                         yield give(kind)
         for kind in (0, 1):
             if held[kind]:
@@ -269,7 +271,7 @@ def score(docs: DataFrame, of: int = 10, depth: int = DEPTH, id_column: str = "d
         model, keys, n = shared.value
         logs = np.log10(n + 0.1) - below
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE_BYTES):
                 size = part.num_rows
                 grams, first, count = sequence(part.column("text"), model.depth)
                 code = model.log10(grams[_places(first, count)])
