@@ -134,6 +134,10 @@ class Fact:
         return Aggregated(self, fold, by or [], named)
 
 
+#: Rules whose bodies are being read, the innermost last.
+_STACK: list[Fact] = []
+
+
 class Deduction(Fact):
     """A schema whose facts follow from a body. A body that uses its own schema is recursive."""
 
@@ -146,10 +150,12 @@ class Deduction(Fact):
             if self._building:
                 raise ReferenceError(f"{self.the} is used by a rule that it uses itself")
             self._building = True
+            _STACK.append(self)
             try:
                 branches = {k: conjuncts(b) for k, b in self.body(self.vars).items()}
             finally:
                 self._building = False
+                _STACK.pop()
             literal = [Same(self.vars[n], x) for n, x in self.members.items() if not isinstance(x, (type, Fact)) and x is not None]
             head = self.head()
             if not any(head["this"] in c.vars() for body in branches.values() for c in body if not isinstance(c, Recur)):
@@ -160,6 +166,8 @@ class Deduction(Fact):
 
     def use(self, terms: dict[str, object]):
         if self._building:
+            if _STACK[-1] is not self:
+                raise ReferenceError(f"{self.the} and {_STACK[-1].the} apply each other; only a rule's own recursion is supported")
             # what is not stated is what the rule's own head has
             full = {n: terms.get(n, v) for n, v in self.head().items()}
             return self.claim(**full) if self.one_step else Recur(full)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,8 +180,6 @@ def python_formula(function: Callable[..., list], returns: str, kind: str, names
 
     returns: Spark type of an output; kind: its type here; names: inputs in the order of the function's arguments.
     """
-    import pandas as pd
-
     @F.pandas_udf(f"array<{returns}>")
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([list(function(*row)) for row in zip(*columns)])

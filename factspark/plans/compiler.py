@@ -191,7 +191,8 @@ class Compiler:
     def pattern(self, c: Select) -> tuple[DataFrame, dict[Var, Bound]]:
         given = [None if isinstance(t, Var) else t for t in (c.the, c.of, c.is_)]
         df, parts = self.source.scan(*given, c.type)
-        terms = [(t, parts[n]) for t, n in zip((c.the, c.of, c.is_), ("the", "of", "is")) if isinstance(t, Var)]
+        # None as a constant is the null value, for a source it is no restriction
+        terms = [(t, parts[n]) for t, n in zip((c.the, c.of, c.is_), ("the", "of", "is")) if isinstance(t, Var) or t is None]
         df, cols = self._unified(df, terms)
         return (df, cols) if cols else (df.limit(1), cols)
 

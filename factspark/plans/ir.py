@@ -107,7 +107,7 @@ class Rule:
 
     def __post_init__(self) -> None:
         for label, body in self.branches.items():
-            used = set().union(*(c.vars() for c in body if not isinstance(c, Not)), set())
+            used = set().union(*(c.vars() for c in body), set())
             for v in self.head.values():
                 if v not in used and is_var(v):
                     raise ReferenceError(f'Rule case "{label}" does not bind variable {v} that rule matches as "{next(k for k, x in self.head.items() if x == v)}"')

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ def tag_value(value: object) -> dict:
     kind = type_of(value)
     out: dict = {"t": kind, **dict.fromkeys(ANY_FIELDS)}
     if kind != "null":
-        out[HOME[kind]] = value.id if isinstance(value, Ref) else int(value) if kind == "integer" else bytes(value) if kind == "bytes" else value
+        out[HOME[kind]] = value.id if isinstance(value, Ref) else int(value) if kind == "integer" else bytes(value) if kind == "bytes" else decimal.Decimal(value) if kind == "bigint" else value
     return out
 
 
