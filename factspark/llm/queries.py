@@ -47,10 +47,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(F.transform("item_ids", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
         (F.size("item_ids") >= 2).alias("contaminated"),
-        "longest",
     )
 
 
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = "coalesce(regexp_extract_all(" + _LOWER_SQL.format("text") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+'), [])"
+_WINDOWS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least(8, len(w)) AS size, w[p:p + least(8, len(w)) - 1] AS words FROM i, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS u(p) WHERE len(w) > 0),
+places AS (SELECT n, size, p, w[p:p + size - 1] AS words FROM d, (SELECT DISTINCT size FROM windows) AS s, unnest(range(1, len(w) - size + 2)) AS u(p) WHERE len(w) >= size),
+found AS (SELECT n, p, windows.size AS size, item_id FROM places JOIN windows USING (size, words)),
+hits AS (SELECT n, count(DISTINCT h) AS hit FROM found, unnest(range(p, p + size)) AS u(h) GROUP BY n),
+items AS (SELECT n, count(DISTINCT item_id) AS items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hits USING (n) LEFT JOIN items USING (n)"""
+
+
 #: Rules of the url query; the longest that fits decides.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Hosts that the url query lists besides, each for its subdomains too.
@@ -108,7 +122,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record as read back from the written archives."""
-    return warc.round_trip(_read(spark, sf_dir, "pages"))
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("segments")
+
+
+#: Five hexadecimal digits are four digits of base 32.
+_BASE32_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, {5 * i + 1}, 5))::INT >> {shift}) & 31 AS INT) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, {_BASE32_SQL} AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM g"""
 
 
 def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -157,10 +182,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(F.transform("item_ids", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
         (F.size("item_ids") >= 2).alias("contaminated"),
-        "longest",
     )
 
 
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = "coalesce(regexp_extract_all(" + _LOWER_SQL.format("text") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+'), [])"
+_WINDOWS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least(8, len(w)) AS size, w[p:p + least(8, len(w)) - 1] AS words FROM i, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS u(p) WHERE len(w) > 0),
+places AS (SELECT n, size, p, w[p:p + size - 1] AS words FROM d, (SELECT DISTINCT size FROM windows) AS s, unnest(range(1, len(w) - size + 2)) AS u(p) WHERE len(w) >= size),
+found AS (SELECT n, p, windows.size AS size, item_id FROM places JOIN windows USING (size, words)),
+hits AS (SELECT n, count(DISTINCT h) AS hit FROM found, unnest(range(p, p + size)) AS u(h) GROUP BY n),
+items AS (SELECT n, count(DISTINCT item_id) AS items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hits USING (n) LEFT JOIN items USING (n)"""
+
+
 #: Rules of the url query; the longest that fits decides.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Hosts that the url query lists besides, each for its subdomains too.
@@ -218,7 +257,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record as read back from the written archives."""
-    return warc.round_trip(_read(spark, sf_dir, "pages"))
+    return warc.round_trip(_read(spark, sf_dir, "pages")).drop("segments")
+
+
+#: Five hexadecimal digits are four digits of base 32.
+_BASE32_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, {5 * i + 1}, 5))::INT >> {shift}) & 31 AS INT) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, {_BASE32_SQL} AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM g"""
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,4 +285,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _URL_SQL}
+    return {"op1_url_filter": _URL_SQL, "op6_warc_round_trip": _WARC_SQL, "op10_decontaminate": _WINDOWS_SQL}
