@@ -25,10 +25,11 @@ def fresh() -> str:
 
 @dataclass
 class Frame:
-    """Solutions so far. df None: the one solution that binds nothing."""
+    """Solutions so far. df None: the one solution that binds nothing. keys: sets of variables that no two rows agree on."""
 
     df: DataFrame | None
     cols: dict[Var, Bound]
+    keys: tuple[frozenset[Var], ...] = ()
 
     def value(self, term: object) -> Bound:
         return self.cols[term] if is_var(term) else constant(term)
@@ -37,18 +38,18 @@ class Frame:
         return not isinstance(term, Var) or term in self.cols
 
     def where(self, test: Column) -> Frame:
-        return Frame(self.df.where(test), self.cols)
+        return Frame(self.df.where(test), self.cols, self.keys)
 
     def bind(self, var: Var, value: Bound) -> Frame:
         name = fresh()
-        return Frame(self.df.withColumn(name, value.column), self.cols | {var: Bound(F.col(name), value.type)})
+        return Frame(self.df.withColumn(name, value.column), self.cols | {var: Bound(F.col(name), value.type)}, self.keys)
 
     def only(self, names: set[Var]) -> Frame:
         cols = {v: b for v, b in self.cols.items() if v in names}
         out = {v: Bound(F.col(f"v{i}_{v.id}"), b.type) for i, (v, b) in enumerate(cols.items())}
         if not cols:
             return Frame(self.df.select(F.lit(1).alias("v_none")), {})
-        return Frame(self.df.select(*(b.column.alias(f"v{i}_{v.id}") for i, (v, b) in enumerate(cols.items()))), out)
+        return Frame(self.df.select(*(b.column.alias(f"v{i}_{v.id}") for i, (v, b) in enumerate(cols.items()))), out, tuple(k for k in self.keys if k <= names))
 
 
 class Compiler:
@@ -65,14 +66,17 @@ class Compiler:
                 raise ReferenceError(f'Rule application omits required parameter "{name}"')
         frame = self.body(self.unit(), [Apply(rule, args)])
         named = {n: (constant(t) if not isinstance(t, Var) else frame.cols[t]) for n, t in args.items() if t != WILDCARD}
-        df = frame.df.select(*(b.column.alias(n) for n, b in named.items())).distinct()
+        df = frame.df.select(*(b.column.alias(n) for n, b in named.items()))
+        # rows that a key among the columns tells apart need no shuffle to be distinct
+        shown = {t for t in args.values() if is_var(t)}
+        df = df if any(k <= shown for k in frame.keys) else df.distinct()
         return df, {n: Bound(F.col(f"`{n}`"), b.type) for n, b in named.items()}
 
     def unit(self) -> Frame:
-        return Frame(None, {})
+        return Frame(None, {}, (frozenset(),))
 
     def seeded(self, frame: Frame) -> Frame:
-        return frame if frame.df is not None else Frame(self.spark.range(1).select(F.lit(1).alias(fresh())), frame.cols)
+        return frame if frame.df is not None else Frame(self.spark.range(1).select(F.lit(1).alias(fresh())), frame.cols, frame.keys)
 
     def body(self, frame: Frame, conjuncts: list, delta: Frame | None = None, stack: tuple = ()) -> Frame:
         """The frame joined with all conjuncts, in planned order."""
@@ -172,6 +176,11 @@ class Compiler:
             return self.application(frame, c, stack)
         raise ReferenceError(f"{c} outside of its rule")
 
+    @staticmethod
+    def _keys(keys: tuple[frozenset[str], ...], terms: dict[str, object]) -> tuple[frozenset[Var], ...]:
+        """Keys of a scan as variables: constants are the same in all rows, parts that aren't asked for spoil a key."""
+        return tuple(frozenset(terms[n] for n in k if isinstance(terms[n], Var)) for k in keys if all(n in terms and terms[n] is not ABSENT for n in k))
+
     def _unified(self, df: DataFrame, terms: list[tuple[object, Bound]]) -> tuple[DataFrame, dict[Var, Bound]]:
         """df filtered by constants and repeated variables, with a column for each variable."""
         cols: dict[Var, Bound] = {}
@@ -188,26 +197,32 @@ class Compiler:
         df = df.select(*(b.column.alias(n) for n, b in named.values())) if named else df.select(F.lit(1).alias(fresh()))
         return df, {v: Bound(F.col(n), b.type) for v, (n, b) in named.items()}
 
-    def pattern(self, c: Select) -> tuple[DataFrame, dict[Var, Bound]]:
+    def pattern(self, c: Select) -> tuple[DataFrame, dict[Var, Bound], tuple[frozenset[Var], ...]]:
         given = [None if isinstance(t, Var) else t for t in (c.the, c.of, c.is_)]
-        df, parts = self.source.scan(*given, c.type)
+        df, parts, keys = self.source.scan(*given, c.type)
         # None as a constant is the null value, for a source it is no restriction
         terms = [(t, parts[n]) for t, n in zip((c.the, c.of, c.is_), ("the", "of", "is")) if isinstance(t, Var) or t is None]
         df, cols = self._unified(df, terms)
-        return (df, cols) if cols else (df.limit(1), cols)
+        keys = self._keys(keys, {"the": c.the, "of": c.of, "is": c.is_})
+        return (df, cols, keys) if cols else (df.limit(1), cols, (frozenset(),))
 
-    def star(self, c: Star) -> tuple[DataFrame, dict[Var, Bound]]:
-        df, parts = self.source.star([m.the for m in c.members])
-        return self._unified(df, [(c.of, parts["of"]), *((m.is_, parts[m.the]) for m in c.members)])
+    def star(self, c: Star) -> tuple[DataFrame, dict[Var, Bound], tuple[frozenset[Var], ...]]:
+        df, parts, keys = self.source.star([m.the for m in c.members])
+        df, cols = self._unified(df, [(c.of, parts["of"]), *((m.is_, parts[m.the]) for m in c.members)])
+        return df, cols, self._keys(keys, {"of": c.of} | {m.the: m.is_ for m in c.members})
 
-    def join(self, frame: Frame, df: DataFrame, cols: dict[Var, Bound]) -> Frame:
+    def join(self, frame: Frame, df: DataFrame, cols: dict[Var, Bound], keys: tuple[frozenset[Var], ...] = ()) -> Frame:
         if frame.df is None:
-            return Frame(df, cols)
+            return Frame(df, cols, keys)
+        # if all of a right key is joined on, a left row meets one right row at most, and so the other way round
+        one = {True: any(k <= set(frame.cols) for k in keys), False: any(k <= set(cols) for k in frame.keys)}
+        both = tuple(a | b for a in frame.keys for b in keys)[:6]
+        keys = both + frame.keys * one[True] + keys * one[False]
         on = [equal(frame.cols[v], b) for v, b in cols.items() if v in frame.cols]
         out = frame.df.join(df, on) if on else frame.df.crossJoin(df)
         old = {v: b for v, b in frame.cols.items()}
         keep = [b.column for b in (old | {v: b for v, b in cols.items() if v not in old}).values()]
-        return Frame(out.select(*keep) if keep else out, old | {v: b for v, b in cols.items() if v not in old})
+        return Frame(out.select(*keep) if keep else out, old | {v: b for v, b in cols.items() if v not in old}, keys)
 
     def outcome(self, frame: Frame, c: Formula):
         if c.name not in self.formulas:
@@ -222,14 +237,14 @@ class Compiler:
         elif c.output is ABSENT and c.name != "==":
             return frame.where(out.column.isNotNull())
         else:
-            frame = Frame(frame.df.withColumn(name, out.column), frame.cols)
+            frame = Frame(frame.df.withColumn(name, out.column), frame.cols, frame.keys)
         value = Bound(F.col(name), out.type)
         if c.name != "==" and out.type != "any":
             frame = frame.where(value.column.isNotNull())
         if c.output is ABSENT:
             return frame
         if is_var(c.output) and c.output not in frame.cols:
-            return Frame(frame.df, frame.cols | {c.output: value})
+            return Frame(frame.df, frame.cols | {c.output: value}, frame.keys)
         return frame.where(equal(value, frame.value(c.output)))
 
     def same(self, frame: Frame, c: Same) -> Frame:
@@ -248,7 +263,7 @@ class Compiler:
             return frame.where(~F.coalesce(self.holds(frame, inner[0]), F.lit(False)))
         shared = {v for v in c.vars() if v in frame.cols}
         if len(inner) == 1 and isinstance(inner[0], Select):
-            df, cols = self.pattern(inner[0])
+            df, cols, _ = self.pattern(inner[0])
         else:
             left = Frame(frame.only(shared).df.distinct(), frame.only(shared).cols)
             found = self.body(left, inner, stack=stack)
@@ -257,7 +272,7 @@ class Compiler:
         right = {v: (fresh(), cols[v]) for v in shared if v in cols}
         df = df.select(*(b.column.alias(n) for n, b in right.values())) if right else df.select(F.lit(1).alias(fresh()))
         on = [equal(frame.cols[v], Bound(F.col(n), b.type)) for v, (n, b) in right.items()]
-        return Frame(frame.df.join(df, on or F.lit(True), "left_anti"), frame.cols)
+        return Frame(frame.df.join(df, on or F.lit(True), "left_anti"), frame.cols, frame.keys)
 
     def holds(self, frame: Frame, c) -> Column:
         if isinstance(c, Same):
@@ -301,7 +316,7 @@ class Compiler:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return Frame(out.distinct(), {v: Bound(F.col(n), kinds[v]) for v, n in names.items()})
+        return Frame(out.distinct(), {v: Bound(F.col(n), kinds[v]) for v, n in names.items()}, (frozenset(names),))
 
     # -- recursion ----------------------------------------------------------------------------------------------------
 
@@ -375,8 +390,7 @@ class Compiler:
 
         table = fixpoint(base, step, self.limit) if any(rs for _, rs in branches) else base.distinct()
         df, cols = relation(table, Recur({n: t for n, t in c.args.items()}))
-        df = df.distinct()
-        return self.join(frame, df, cols)
+        return self.join(frame, df.distinct(), cols, (frozenset(cols),))
 
     @staticmethod
     def complete(rest: list, head: dict[str, Var], bound) -> bool:

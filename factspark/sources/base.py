@@ -11,10 +11,12 @@ from ..values import Bound
 
 
 class Scan(NamedTuple):
-    """Rows with the asked-for parts: names (the, of, is, or those of star members) to columns of df."""
+    """Rows with the asked-for parts: names (the, of, is, or those of star members) to columns of df. keys: sets of
+    parts that no two rows agree on."""
 
     df: DataFrame
     parts: dict[str, Bound]
+    keys: tuple[frozenset[str], ...] = ()
 
 
 class FactSource(Protocol):
@@ -57,7 +59,7 @@ class CachingSource:
             return self.kept[key]
         found = make()
         if found is not None:
-            self.kept[key] = found = Scan(found.df.persist(), found.parts)
+            self.kept[key] = found = Scan(found.df.persist(), found.parts, found.keys)
             if len(self.kept) > self.capacity:
                 self.kept.popitem(last=False)[1].df.unpersist()
         return found

@@ -13,7 +13,8 @@ from .base import Scan
 
 @dataclass
 class Relation:
-    """A table under a namespace. key: its entity's column, columns, or none (then the row's content is the entity).
+    """A table under a namespace. key: its entity's column, or columns, different in each row; or none (then the row's
+    content is the entity).
 
     columns: member to column; refs: members that hold another relation's key; arrays: members that are collections.
     Nulls are absent facts.
@@ -71,7 +72,14 @@ class RelationSource:
         entity = relation.entity()
         df = relation.df.select(entity.column.alias("of"), *(v.column.alias(f"a{i}") for i, v in enumerate(values.values())))
         df = df.where(self._there(["of", *(f"a{i}" for i in range(len(values)))]))
-        return Scan(df, {"of": Bound(F.col("of"), entity.type)} | {a: Bound(F.col(f"a{i}"), v.type) for i, (a, v) in enumerate(values.items())})
+        return Scan(df, {"of": Bound(F.col("of"), entity.type)} | {a: Bound(F.col(f"a{i}"), v.type) for i, (a, v) in enumerate(values.items())}, self._keys(relation, {m: a for a, (_, m) in zip(attributes, found)}))
+
+    @staticmethod
+    def _keys(relation: Relation, parts: dict[str, str]) -> tuple[frozenset[str], ...]:
+        """The entity, and a member that shows the key column itself. parts: members to the names of their parts."""
+        if not relation.key:
+            return ()
+        return (frozenset({"of"}), *(frozenset({n}) for m, n in parts.items() if relation.columns.get(m) == relation.key))
 
     @staticmethod
     def _there(names: list[str]) -> Column:
@@ -83,11 +91,13 @@ class RelationSource:
     def scan(self, the=None, of=None, is_=None, type=None) -> Scan:
         if the is None:
             return self._any_attribute(of, is_)
+        found = relation = None
         if the.startswith("the/"):
             relation = self.relations.get(the[4:])
             df, entity, value = (relation.df, relation.entity(), Bound(F.lit(the[4:]), "string")) if relation else (None, None, None)
         elif found := self._parts(the):
-            df, entity, value = found[0].df, found[0].entity(), found[0].value(found[1])
+            relation = found[0]
+            df, entity, value = relation.df, relation.entity(), relation.value(found[1])
         else:
             df = None
         if df is None:
@@ -95,7 +105,10 @@ class RelationSource:
             return Scan(empty, {"the": Bound(F.col("the"), "string"), "of": Bound(F.col("of"), "reference"), "is": Bound(F.col("is"), "string")})
         rows = df.select(F.lit(the).alias("the"), entity.column.alias("of"), value.column.alias("is")).where(self._there(["of", "is"]))
         parts = {"the": Bound(F.col("the"), "string"), "of": Bound(F.col("of"), entity.type), "is": Bound(F.col("is"), value.type)}
-        return Scan(self._held(rows, parts, of, is_), parts)
+        keys = (frozenset({"of"}),) if relation and relation.key else ()
+        if found and keys:
+            keys = self._keys(relation, {found[1]: "is"})
+        return Scan(self._held(rows, parts, of, is_), parts, keys)
 
     @staticmethod
     def _held(rows: DataFrame, parts: dict[str, Bound], of, is_) -> DataFrame:

@@ -117,7 +117,7 @@ class TripleSource:
         kind = self.types.get(the, "any") if the is not None else "any"
         if kind != "any":
             df = df.select("the", "of", as_type(value, kind).column.alias("is"))
-        return Scan(df.select("the", "of", "is"), {"the": Bound(F.col("the"), "string"), "of": Bound(F.col("of"), "reference"), "is": Bound(F.col("is"), kind)})
+        return Scan(df.select("the", "of", "is"), {"the": Bound(F.col("the"), "string"), "of": Bound(F.col("of"), "reference"), "is": Bound(F.col("is"), kind)}, (frozenset({"the", "of", "is"}),))
 
     def star(self, attributes: list[str]):
         return None
