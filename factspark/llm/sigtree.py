@@ -244,33 +244,40 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    shared = spark.sparkContext.broadcast(_order(rows, k, num, den))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                sets, kept = shared.value.prefixes(part, "text", k, num, den)
+                sets = _sets(part, "text", k)
                 prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
-                values = pa.array(textkit.signed(np.concatenate(kept)))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in kept]))), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists], ["id", "n", "f1", "f2", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], ["id", "n", "f1", "f2"])
 
-    described = cut(rows.mapInArrow(describe, "id long, n long, f1 long, f2 long, prefix array<long>"), "sets")
+    described = cut(rows.mapInArrow(describe, "id long, n long, f1 long, f2 long"), "sets")
     known = described.where("id is not null and n > 0")
-    classes = cut(known.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    tokens = classes.select("rep", F.explode("prefix").alias("s"))
+    classes = cut(known.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "classes")
+    shared = spark.sparkContext.broadcast(_order(rows, k, num, den))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                kept = shared.value.prefixes(part, "text", k, num, den)[1]
+                ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in kept])), pa.array(textkit.signed(np.concatenate(kept or [np.zeros(0, np.uint64)])))], ["rep", "s"])
+
+    # a few documents that stand for no class may come along: they link to the one that has their set
+    tokens = cut(only_ids(rows.where("id is not null"), "id", classes.select("rep")).mapInArrow(begin, "rep long, s long"), "tokens")
     leaders = tokens.groupBy("s").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).where("leader < most").drop("most")
     members = cut(tokens.join(leaders, "s").select("leader", "rep").distinct(), "members")
     counts = members.groupBy("leader").agg(F.count(F.lit(1)).alias("c"))
-    sizes = classes.groupBy(F.col("rep")).agg(F.max("n").alias("n"))
+    sizes = known.groupBy(F.col("id").alias("rep")).agg(F.max("n").alias("n"), F.min("n").alias("m"))
     placed = members.join(counts, "leader").join(sizes, "rep")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
     large = F.col("c") > BLOCK
     # a block's size class and a share of it; a class has at most c members, so shares are of BLOCK members on average
-    placed = placed.select("leader", "rep", "n", "c", F.when(large, step).otherwise(0).cast("long").alias("b2"))
+    placed = placed.select("leader", "rep", "n", "m", "c", F.when(large, step).otherwise(0).cast("long").alias("b2"))
     shares = placed.where(large).groupBy("leader", "b2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
     placed = placed.join(shares, ["leader", "b2"], "left")
-    placed = cut(placed.select("leader", "b2", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("shares"))).cast("long").alias("b3"), "rep", "n", large.alias("large")), "placed")
+    placed = cut(placed.select("leader", "b2", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("shares"))).cast("long").alias("b3"), "rep", "n", "m", large.alias("large")), "placed")
     blocks = placed.where("large").select("leader", "b2", "b3").distinct()
     seats = placed.select("leader", "b2", "b3", "rep").unionByName(blocks.select("leader", "b2", "b3", F.col("leader").alias("rep"))).distinct()
     texts = only_ids(rows.where("id is not null"), "id", seats.select("rep"))
@@ -279,8 +286,8 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     found = components(edges)
     if placed.where("large").limit(1).count():
         label = F.coalesce("component", "rep")
-        big = cut(placed.where("large").join(found, F.col("rep") == F.col("node"), "left").select("leader", "b2", "b3", "rep", "n", label.alias("label")), "large")
-        nodes = big.groupBy("leader", "b2", "b3").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+        big = cut(placed.where("large").join(found, F.col("rep") == F.col("node"), "left").select("leader", "b2", "b3", "rep", "n", "m", label.alias("label")), "large")
+        nodes = big.groupBy("leader", "b2", "b3").agg(F.min("m").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2"))
         nodes = cut(nodes.withColumn("k", F.struct("b2", "b3")), "nodes")
         x, y = nodes.alias("x"), nodes.alias("y")
         fits = (F.col("x.k") < F.col("y.k")) & (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num)
