@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ITERATIONS = 1000
@@ -17,11 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows from a table in the cluster's shared folder, so lineage ends and lost executors cost no recomputation."""
+def cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows from a table in the cluster's shared folder, so lineage ends and lost executors cost no recomputation;
+    and how many there are, counted as they are written."""
     path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame | None], limit: int = MAX_ITERATIONS) -> DataFrame:
@@ -29,9 +31,10 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame |
 
     Ends when a step finds nothing new; raises RuntimeError after `limit` steps, as arithmetic may never end.
     """
-    known = new = cut(base.distinct())
+    known, count = cut(base.distinct())
+    new = known
     for _ in range(limit):
-        if new.isEmpty():
+        if not count:
             return known
         found = step(new, known)
         if found is None:
@@ -39,6 +42,6 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame |
         found = found.select(*known.columns).distinct().alias("n")
         old = known.alias("k")
         fresh = found.join(old, [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in known.columns], "left_anti")
-        new = cut(fresh)
+        new, count = cut(fresh)
         known = known.unionByName(new)
     raise RuntimeError(f"recursion found new rows in each of {limit} steps")
