@@ -5,8 +5,9 @@ the Krichevsky-Trofimov estimate of its own counts with the product of its child
 all depths, each weighted by how well it codes the training texts, and gives a code length for every byte.
 
 Training needs only the counts of byte n-grams in the training texts, which are combined before and after one shuffle.
-Nodes go to the tasks, so their number is bounded: an n-gram stays if it occurs often enough for at most MAX_GRAMS to
-stay at any depth; the contexts that don't stay share one child of the node above. Scoring is one pass over all texts.
+All of them stay. The tree is a table sharded by the SHARD bytes before a byte: a task holds the subtrees of a part of
+the shards, only the nodes above them (contexts of under SHARD bytes) go everywhere. Scoring is one pass over all texts
+with the exact logs of the MAX_GRAMS most frequent n-grams; the places of others are joined to the shards.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import cut, pieces, small_batches
+from .common import cut, partitions, pieces, small_batches
 
-DEPTH, MAX_GRAMS, MAX_WORDS = 5, 1 << 18, 1 << 19
+DEPTH, SHARD, MAX_GRAMS, MAX_WORDS = 5, 3, 1 << 18, 1 << 19
+#: Shards are dealt to so many parts, or as many as tasks if those are more.
+PARTS = 1021
 #: Texts are worked on in slices of so many bytes: a gram takes eight bytes in each of several arrays.
 SLICE_BYTES, HELD = 1 << 20, 1_500_000
 _B = np.uint64(8)
@@ -132,9 +136,8 @@ class Model:
         return out
 
 
-def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """A model of the kept grams (sorted keys and counts) of each depth; a gram's shorter ones must be kept too."""
-    depth = len(counts) - 1
+def _tables(counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """Binary nodes and their counts of zeros and ones, of each depth's grams."""
     tables = []
     for keys, n in counts:
         parts = []
@@ -144,31 +147,52 @@ def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
             one = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.float64) * n
             parts.append(_add_up(context << _B | prefix, n - one, one))
         tables.append(_add_up(*(np.concatenate([p[i] for p in parts]) for i in range(3))))
-    above = [None]
-    for d in range(1, depth + 1):
-        keys = tables[d][0]
-        mask = np.uint64((1 << 8 * (d - 1)) - 1)
-        above.append(_find(tables[d - 1][0], ((keys >> _B) & mask) << _B | (keys & np.uint64(255)))[0])
-    # from the deepest up: log weights of subtrees, and what is left of a node's counts for contexts that aren't kept
-    stop, rest = [None] * (depth + 1), [None] * (depth + 1)
-    weight = log_kt(*tables[depth][1:])
-    stop[depth] = np.ones(len(weight))
-    for d in range(depth - 1, -1, -1):
-        keys, zeros, ones = tables[d]
-        sums = [np.bincount(above[d + 1], v, minlength=len(keys)) for v in (*tables[d + 1][1:], weight)]
-        rest[d] = (np.maximum(zeros - sums[0], 0), np.maximum(ones - sums[1], 0))
-        own, below = log_kt(zeros, ones), sums[2] + log_kt(*rest[d])
-        weight = np.logaddexp(own, below) - np.log(2)
-        stop[d] = np.exp(own - np.logaddexp(own, below))
-    # from the root down: the mixture so far and the weight that is left for deeper nodes
+    return tables
+
+
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * n) - 1)
+
+
+def _parents(keys: np.ndarray, d: int) -> np.ndarray:
+    """The nodes above nodes of depth d."""
+    return ((keys >> _B) & _mask(d - 1)) << _B | (keys & np.uint64(255))
+
+
+def _rise(tables: list, low: int, below: np.ndarray | None = None) -> tuple[list, list, list, np.ndarray]:
+    """From the deepest up, the tables being of depth low and more: places of the nodes above, weights of stopping, what
+    is left of a node's counts for contexts that aren't kept, and the log weights of the subtrees of depth low.
+
+    below: log weights under the deepest nodes, whose contexts are all kept.
+    """
+    above = [None] + [_find(tables[i - 1][0], _parents(tables[i][0], low + i))[0] for i in range(1, len(tables))]
+    stop, rest = [None] * len(tables), [None] * len(tables)
+    weight = log_kt(*tables[-1][1:])
+    stop[-1] = np.ones(len(weight))
+    if below is not None:
+        both = np.logaddexp(weight, below)
+        stop[-1], weight = np.exp(weight - both), both - np.log(2)
+        rest[-1] = (np.zeros(len(weight)), np.zeros(len(weight)))
+    for i in range(len(tables) - 2, -1, -1):
+        keys, zeros, ones = tables[i]
+        sums = [np.bincount(above[i + 1], v, minlength=len(keys)) for v in (*tables[i + 1][1:], weight)]
+        rest[i] = (np.maximum(zeros - sums[0], 0), np.maximum(ones - sums[1], 0))
+        own, under = log_kt(zeros, ones), sums[2] + log_kt(*rest[i])
+        weight = np.logaddexp(own, under) - np.log(2)
+        stop[i] = np.exp(own - np.logaddexp(own, under))
+    return above, stop, rest, weight
+
+
+def _fall(tables: list, counts: list, above: list, stop: list, rest: list, mixed: np.ndarray, left: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
+    """From the first table down: the mixture so far and the weight that is left for deeper nodes, for the first table's
+    nodes at first and for the last one's at last."""
     model = Model([], [], [], [], [], [])
-    mixed, left = np.zeros(len(tables[0][0])), np.ones(len(tables[0][0]))
     for d, (keys, zeros, ones) in enumerate(tables):
         if d:
             mixed, left = mixed[above[d]], left[above[d]]
         kt = (ones + 0.5) / (zeros + ones + 1)
         mixed, left = mixed + left * stop[d] * kt, left * (1 - stop[d])
-        one = mixed if d == depth else mixed + left * (rest[d][1] + 0.5) / (rest[d][0] + rest[d][1] + 1)
+        one = mixed if rest[d] is None else mixed + left * (rest[d][1] + 0.5) / (rest[d][0] + rest[d][1] + 1)
         model.nodes.append(keys)
         model.one.append(np.clip(one, 1e-12, 1 - 1e-12).astype(np.float32).clip(1e-7, 1 - 1e-7))
         model.beyond.append(np.clip(mixed + left / 2, 1e-7, 1 - 1e-7).astype(np.float32).clip(1e-7, 1 - 1e-7))
@@ -181,7 +205,85 @@ def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
         model.grams.append(grams)
         model.logs.append(total.astype(np.float32))
         model.contexts.append(np.unique(context))
-    return model
+    return model, mixed, left
+
+
+def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """A model of the kept grams (sorted keys and counts) of each depth; a gram's shorter ones must be kept too."""
+    tables = _tables(counts)
+    above, stop, rest, _ = _rise(tables, 0)
+    n = len(tables[0][0])
+    return _fall(tables, counts, above, stop, rest, np.zeros(n), np.ones(n))[0]
+
+
+def _shorter(keys: np.ndarray, n: np.ndarray, depth: int, low: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and counts of the grams of depth low to depth, given all of the deepest."""
+    out = [_add_up(keys, n)]
+    for d in range(depth - 1, low - 1, -1):
+        out.append(_add_up(out[-1][0] & _mask(d + 1), out[-1][1]))
+    return out[::-1]
+
+
+@dataclass
+class Top:
+    """The nodes above the shards, which are alike for all: their model, and what is left for the shards at its last nodes."""
+
+    model: Model
+    mixed: np.ndarray
+    left: np.ndarray
+    depth: int
+
+    def with_shards(self, keys: np.ndarray, n: np.ndarray) -> Model:
+        """The whole model for contexts of these shards, all of whose deepest grams are given."""
+        low = len(self.model.grams)
+        counts = _shorter(keys, n, self.depth, low)
+        tables = _tables(counts)
+        above, stop, rest, _ = _rise(tables, low)
+        at = _find(self.model.nodes[-1], _parents(tables[0][0], low))[0]
+        sub = _fall(tables, counts, above, stop, rest, self.mixed[at], self.left[at])[0]
+        return Model(*(getattr(self.model, f) + getattr(sub, f) for f in ("grams", "logs", "contexts", "nodes", "one", "beyond")))
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of each part, of rows sorted by part."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    current = None
+    for batch in batches:
+        part, keys = batch.column("part").to_numpy(), batch.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        n = batch.column("n").to_numpy().astype(np.float64)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a == b:
+                continue
+            if held and part[a] != current:
+                yield np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held])
+                held = []
+            current = part[a]
+            held.append((keys[a:b], n[a:b]))
+    if held:
+        yield np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held])
+
+
+def _top(grams: DataFrame, depth: int, low: int) -> Top:
+    """The nodes of contexts under low bytes; grams: part, key, n of all deepest grams, a shard's in one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _by_part(batches):
+            tables = _tables(_shorter(keys, n, depth, low))
+            nodes = _add_up(_parents(tables[0][0], low), _rise(tables, low)[3])
+            for kind, (k, v) in enumerate((nodes, _add_up(keys & _mask(low), n))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(v)], ["kind", "key", "v"])
+
+    dealt = grams.repartition(max(2, partitions(grams.sparkSession)), "part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(run, "kind int, key long, v double").groupBy("kind", "key").agg(F.sum("v").alias("v")).toArrow().combine_chunks()
+    kind, keys, v = found["kind"].to_numpy(), found["key"].to_numpy().view(np.uint64), found["v"].to_numpy()
+    counts = _shorter(keys[kind == 1], v[kind == 1], low - 1, 0)
+    tables = _tables(counts)
+    nodes, weights = _add_up(keys[kind == 0], v[kind == 0])
+    assert np.array_equal(nodes, tables[-1][0])
+    above, stop, rest, _ = _rise(tables, 0, weights)
+    n = len(tables[0][0])
+    return Top(*_fall(tables, counts, above, stop, rest, np.zeros(n), np.ones(n)), depth)
 
 
 def held_out(doc_id: Column, of: int = 10) -> Column:
@@ -205,11 +307,8 @@ def _threshold(counted: DataFrame, most: int, group: str | None = None) -> int:
     return 1 if not least else int(np.floor(2 ** ((least - 1) / 4))) + 1
 
 
-def train(docs: DataFrame, depth: int = DEPTH, most: int = MAX_GRAMS) -> tuple[Model, DataFrame, int]:
-    """A model of the texts of docs (column text); their words (key: hash, n: count) as a table; their number, ends included.
-
-    The end of a text is the word with key 0.
-    """
+def _counted(docs: DataFrame, depth: int) -> DataFrame:
+    """kind, key, n: how often each deepest gram (kind 0) and each word (1; the end of a text is the word 0) occurs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +332,20 @@ def train(docs: DataFrame, depth: int = DEPTH, most: int = MAX_GRAMS) -> tuple[M
             if held[kind]:
                 yield give(kind)
 
-    counted = cut(docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    return cut(docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+
+
+def _total(words: DataFrame) -> int:
+    return int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
+def train(docs: DataFrame, depth: int = DEPTH, most: int = MAX_GRAMS) -> tuple[Model, DataFrame, int]:
+    """A bounded model, for one process, of the texts of docs (column text); their words (key: hash, n: count) as a table;
+    their number, ends included. Scoring does not use it.
+
+    At no depth more than `most` grams stay; the contexts that don't share one child of the node above.
+    """
+    counted = _counted(docs, depth)
     by_depth = None
     grams = counted.where("kind = 0").select("key", "n")
     for d in range(depth, -1, -1):
@@ -246,35 +358,63 @@ def train(docs: DataFrame, depth: int = DEPTH, most: int = MAX_GRAMS) -> tuple[M
     d_of, keys, n = found["d"].to_numpy(), found["key"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.float64)
     model = build([_add_up(keys[d_of == d], n[d_of == d]) for d in range(depth + 1)])
     words = counted.where("kind = 1").select("key", "n")
-    return model, words, int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return model, words, _total(words)
 
 
 def score(docs: DataFrame, of: int = 10, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
-    A null text is empty: its end is coded all the same. Words' counts beyond the MAX_WORDS most frequent ones, which
-    go to the tasks, are joined in.
+    A null text is empty: its end is coded all the same. Words' counts beyond the MAX_WORDS most frequent ones, and logs
+    of grams beyond the MAX_GRAMS most frequent ones, which go to the tasks, are joined in.
     """
+    if depth < 1:
+        raise ValueError("contexts have a byte at least")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("held", held_out(F.col("id"), of))
-    model, words, total = train(rows.where("not held"), depth)
+    counted = _counted(rows.where("not held"), depth)
+    low, n_tasks = min(SHARD, depth), max(2, partitions(spark))
+    n_parts = max(PARTS, n_tasks | 1)
+    shard = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * low) - 1))
+    # a task takes some parts at a time
+    groups = min(n_parts, 4 * n_tasks + 1)
+    tree = counted.where("kind = 0").select((shard % F.lit(n_parts) % F.lit(groups)).cast("int").alias("part"), "key", "n")
+    shared_top = spark.sparkContext.broadcast(_top(tree, depth, low))
+    frequent = _threshold(tree.select("n"), MAX_GRAMS)
+
+    def logs_of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _by_part(batches):
+            if (n >= frequent).any():
+                keys, n = _add_up(keys, n)
+                logs = shared_top.value.with_shards(keys, n).logs[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[n >= frequent].view(np.int64)), pa.array(logs[n >= frequent])], ["key", "log"])
+
+    found = tree.repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(logs_of_frequent, "key long, log float").toArrow().combine_chunks()
+    order = np.argsort(found["key"].to_numpy().astype(np.int64).view(np.uint64))
+    gram_keys, gram_logs = found["key"].to_numpy().astype(np.int64).view(np.uint64)[order], found["log"].to_numpy().astype(np.float64)[order]
+    words = counted.where("kind = 1").select("key", "n")
+    total = _total(words)
     distinct = words.count()
     least = _threshold(words, MAX_WORDS)
     often = words.where(F.col("n") >= least).toArrow().combine_chunks()
     keys, n = _add_up(often["key"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64))
-    shared = spark.sparkContext.broadcast((model, keys, n))
+    shared = spark.sparkContext.broadcast((gram_keys, gram_logs, keys, n))
     below = float(np.log10(total + 0.1 * (distinct + 1)))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, bytes long, keys array<long>, times array<int>"
+    schema = f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, bytes long, keys array<long>, times array<int>, uid long, part int, grams array<long>, rows array<int>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, n = shared.value
+        gram_keys, gram_logs, keys, n = shared.value
         logs = np.log10(n + 0.1) - below
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in pieces(batch, "text", SLICE_BYTES):
                 size = part.num_rows
-                grams, first, count = sequence(part.column("text"), model.depth)
-                code = model.log10(grams[_places(first, count)])
+                grams, first, count = sequence(part.column("text"), depth)
+                grams = grams[_places(first, count)]
+                at, there = _find(gram_keys, grams)
+                code = np.where(there, gram_logs[at], 0.0) if len(gram_keys) else np.zeros(len(grams))
+                ask, ask_row = grams[~there], np.repeat(np.arange(size), count)[~there]
                 ends = np.concatenate(([0], np.cumsum(count)))
                 found = np.add.reduceat(code, ends[:-1]) if size else code
                 words = textkit.Words(part.column("text"))
@@ -288,17 +428,93 @@ def score(docs: DataFrame, of: int = 10, depth: int = DEPTH, id_column: str = "d
                 new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (row[1:] != row[:-1])))) if len(row) else np.zeros(0, np.int64)
                 offsets = pa.array(np.searchsorted(row[new], np.arange(size + 1)), pa.int32())
                 times = np.diff(np.append(new, len(row))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held"), pa.array(words.counts() + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(found), pa.array(count - 1, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(token[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))],
-                    [x.split()[0] for x in schema.split(", ")],
-                )
+                columns = [part.column("id"), part.column("held"), pa.array(words.counts() + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(found), pa.array(count - 1, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(token[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
+                types = [c.type for c in columns]
+                empty = [pa.nulls(size, t) for t in (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(uid + np.arange(size)), *empty], names)
+                if len(ask):
+                    to = ((ask >> _B) & _mask(low)) % np.uint64(n_parts)
+                    order = np.argsort(to.astype(np.uint16 if n_parts < 1 << 16 else np.uint64), kind="stable")
+                    ask, ask_row, to = ask[order], ask_row[order], to[order]
+                    edges = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
+                    offsets = pa.array(edges, pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ask.view(np.int64), ask_row.astype(np.int32))]
+                    m = len(edges) - 1
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in types), pa.array(np.full(m, uid, np.int64)), pa.array(to[edges[:-1]].astype(np.int32)), *lists], names)
+                uid += size
+
+    scored = cut(rows.mapInArrow(run, schema), "scored")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tree, model = None, [], None
+        asked: list[pa.RecordBatch] = []
+        waiting = 0
+
+        def work() -> Iterator[pa.RecordBatch]:
+            nonlocal model, waiting
+            if not asked:
+                return
+            if model is None:
+                keys, n = (np.concatenate([x[i] for x in tree]) if tree else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.float64)))
+                model = shared_top.value.with_shards(keys, n)
+            size = np.concatenate([pc.list_value_length(x.column("grams")).to_numpy(zero_copy_only=False) for x in asked])
+            few, back = np.unique(np.concatenate([x.column("grams").flatten().to_numpy() for x in asked]).view(np.uint64), return_inverse=True)
+            row = np.concatenate([x.column("rows").flatten().to_numpy() for x in asked]).astype(np.uint64)
+            keys, code = _add_up(np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(32) | row, model.log10(few)[back])
+            ends = pa.array(np.searchsorted(keys, np.arange(len(size) + 1, dtype=np.uint64) << np.uint64(32)), pa.int32())
+            row = (keys & np.uint64((1 << 32) - 1)).astype(np.int32)
+            uid = pa.concat_arrays([x.column("uid") for x in asked])
+            asked.clear()
+            waiting = 0
+            yield pa.RecordBatch.from_arrays([uid, pa.ListArray.from_arrays(ends, pa.array(row)), pa.ListArray.from_arrays(ends, pa.array(code))], ["uid", "rows", "codes"])
+
+        for batch in batches:
+            part, asks = batch.column("part").to_numpy(), batch.column("asks").to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero((np.diff(part) != 0) | (np.diff(asks) != 0)) + 1, [len(part)]))
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if part[a] != current:
+                    yield from work()
+                    current, tree, model = part[a], [], None
+                some = batch.slice(a, b - a)
+                if not asks[a]:
+                    tree.append((some.column("key").to_numpy().astype(np.int64).view(np.uint64), some.column("n").to_numpy().astype(np.float64)))
+                    continue
+                asked.append(some)
+                waiting += len(some.column("grams").flatten())
+                if waiting > HELD:
+                    yield from work()
+        yield from work()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def give() -> pa.RecordBatch:
+            uid, code = _add_up(np.concatenate([u for u, _ in held]), np.concatenate([c for _, c in held]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(code)], ["uid", "code"])
 
-    done = cut(rows.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "scored")
+        for batch in batches:
+            rows = batch.column("rows")
+            size = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+            held.append((np.repeat(batch.column("uid").to_numpy(), size) + rows.flatten().to_numpy(), batch.column("codes").flatten().to_numpy()))
+            if sum(len(u) for u, _ in held) > HELD:
+                yield give()
+        if held:
+            yield give()
+
+    asks = scored.where("part is not null").select((F.col("part") % F.lit(groups)).alias("part"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), "uid", "grams", "rows")
+    both = asks.unionByName(tree.withColumn("asks", F.lit(0)), allowMissingColumns=True)
+    answers = both.repartition(n_tasks, "part").sortWithinPartitions("part", "asks").mapInArrow(answer, "uid long, rows array<int>, codes array<double>")
+    answers = answers.repartition(n_tasks, "uid").sortWithinPartitions("uid").mapInArrow(add_up, "uid long, code double")
+    done = scored.where("part is null").drop("part", "grams", "rows")
     rest = done.select("uid", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("uid", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     rest = rest.join(words.where(F.col("n") < least), "key", "left")
-    part = (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(below)) * F.col("times")
-    rest = rest.groupBy("uid").agg(F.sum(part).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    out = done.drop("keys", "times").join(rest, "uid", "left")
+    more = (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(below)) * F.col("times")
+    rest = rest.select("uid", more.alias("more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"))
+    rest = rest.unionByName(answers, allowMissingColumns=True).groupBy("uid").agg(F.sum("more").alias("more"), F.sum("known").alias("known"), F.sum("code").alias("code"))
+    out = done.drop("keys", "times").join(rest, "uid", "left").withColumn("score", F.col("score") + F.coalesce("code", F.lit(0.0)))
     return out.select(
         F.col("id").alias(id_column),
         F.col("held").alias("held_out"),

@@ -145,3 +145,30 @@ def test_bounded_grams_and_empty_table(spark, tmp_path):
     assert max(map(len, model.grams)) <= 300 and len(model.grams[0]) == 9
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op9_context_tree(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_rare_grams_are_not_dropped(spark, monkeypatch, most):
+    monkeypatch.setattr(ctw, "MAX_GRAMS", most)  # bounds only what goes to the tasks
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("abcdefgh é") for _ in range(r.randint(0, 90)))) for i in range(60)] + [(99, None), (98, "zzz")]
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    model = model_of([texts[x.doc_id] for x in got if not x.held_out], ctw.DEPTH)
+    for x in got:
+        code = model.log10(np.array([int.from_bytes(g, "big") for g in grams_of(texts[x.doc_id], ctw.DEPTH)], np.uint64)).sum()
+        assert abs(x.score - code) < 1e-3 * max(1, abs(code)), x
+
+
+def test_more_grams_than_go_to_the_tasks(spark):
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 .,;-"
+    rows = [(i, "".join(r.choice(letters) for _ in range(11_000))) for i in range(30)]
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    model = model_of([texts[x.doc_id] for x in got if not x.held_out], ctw.DEPTH)
+    assert len(model.grams[-1]) > 1 << 18
+    for x in got:
+        code = model.log10(np.array([int.from_bytes(g, "big") for g in grams_of(texts[x.doc_id], ctw.DEPTH)], np.uint64)).sum()
+        assert abs(x.score - code) < 1e-3 * abs(code), x
