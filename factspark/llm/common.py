@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +65,20 @@ def pieces(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 4 <<
 def only_ids(rows: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     """rows without most of those whose id is not in ids (one long column): what a bitmap of hashed ids lets through.
 
-    It comes before a join on the id, so that few texts are shuffled that the join would drop. The bitmap has 16 bits
-    for each id, MAX_BITS at most, whatever the input.
+    It comes before a join on the id, so that few texts are shuffled that the join would drop.
     """
+    known = bitmap(ids)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known(batch.column(id_column))))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def bitmap(ids: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """For tasks, whether values are in ids (one long column), which lets some others through. It has 16 bits for each id,
+    MAX_BITS at most, whatever the input."""
     count = max(1, ids.count())
     words = min(MAX_BITS, 1 << (16 * count - 1).bit_length()) >> 6
     words = max(1, words)
@@ -86,11 +97,10 @@ def only_ids(rows: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     found = ids.mapInArrow(gather, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(words, np.uint64)
     bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = place(batch.column(id_column))
-            yield batch.filter(pa.array((shared.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)))
+    def known(values: pa.Array) -> np.ndarray:
+        p = place(values)
+        return (shared.value[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    return rows.mapInArrow(keep, rows.schema)
+    return known
