@@ -31,6 +31,8 @@ BLOCK, FANOUT = 256, 16
 #: At most so many frequent words and shingles are told apart in the order; their lists go to all tasks.
 FREQUENT = 1 << 18
 LEAST_FREQUENT = 32
+#: Different words that a task counts at a time.
+HELD = 1 << 20
 
 
 def _sets(part: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
@@ -77,17 +79,23 @@ def _prefix(n: int, num: int, den: int) -> int:
 
 def _word_classes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent words and the logarithms of their counts. Any such list gives a right order, so words that are rare in
-    each task's texts needn't be counted."""
+    a stretch of a task's texts (as long as HELD different words) needn't be counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def often() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(textkit.signed(keys[n >= 4])), pa.array(n[n >= 4])], ["w", "n"])
+
         for batch in batches:
             for part in pieces(batch, "text"):
                 found = np.unique(textkit.Words(part.column("text")).hashes, return_counts=True)
                 keys, at = np.unique(np.concatenate((keys, found[0])), return_inverse=True)
                 n = np.bincount(at, np.concatenate((n, found[1])), minlength=len(keys)).astype(np.int64)
-        often = n >= 4
-        yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(keys[often])), pa.array(n[often])], ["w", "n"])
+                if len(keys) > HELD:
+                    yield often()
+                    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield often()
 
     counted = cut(docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     found = _most_frequent(counted, "w", "n", FREQUENT)
@@ -230,6 +238,7 @@ def _order(docs: DataFrame, k: int, num: int, den: int) -> Order:
 
     counted = docs.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FREQUENT)
     found = _most_frequent(cut(counted, "frequent"), "s", "n", FREQUENT)
+    shared.unpersist()
     return Order(order.words, order.classes, np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64)))
 
 
@@ -266,6 +275,7 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
 
     # a few documents that stand for no class may come along: they link to the one that has their set
     tokens = cut(only_ids(rows.where("id is not null"), "id", classes.select("rep")).mapInArrow(begin, "rep long, s long"), "tokens")
+    shared.unpersist()
     leaders = tokens.groupBy("s").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).where("leader < most").drop("most")
     members = cut(tokens.join(leaders, "s").select("leader", "rep").distinct(), "members")
     counts = members.groupBy("leader").agg(F.count(F.lit(1)).alias("c"))
