@@ -36,7 +36,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: lineage ends here and lost executors cost no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once what was made of them is itself written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
