@@ -78,6 +78,19 @@ def _order(seed: int, epoch: Column, doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """The name, or with as many underscores after it as make it new (names differ by more than case)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def added(docs: DataFrame) -> tuple[str, str, str]:
+    """Names of the columns that a mixture adds to docs: mix_epoch, mix_tokens and mix_leaf unless docs has those."""
+    epoch, tokens, leaf = (_free(n, docs.columns) for n in ("mix_epoch", "mix_tokens", "mix_leaf"))
+    return epoch, tokens, leaf
+
+
 def mix(
     docs: DataFrame,
     levels: list[tuple[str, Callable[[], Column]]],
@@ -90,30 +103,34 @@ def mix(
     text_column: str = "text",
     tokens: Callable[[Column], Column] = word_count,
 ) -> DataFrame:
-    """The rows of docs that the budgets pay for, with all their columns and mix_epoch, mix_tokens, mix_leaf (added last).
+    """The rows of docs that the budgets pay for, with all their columns and mix_epoch, mix_tokens, mix_leaf (added last,
+    with an underscore after them if docs has such a column).
 
     levels: names of the tree's levels from the root down and functions that give their columns; nulls are the node
     "none". total: tokens in all; share: of all tokens, if no total is given. A document is taken in an epoch if the
     tokens before it are below what its leaf's budget leaves for that epoch, so a leaf exceeds its budget by less than
     one document; documents without tokens cost nothing and come along if reached. Equal rows are next to each other.
     """
-    clash = [c for c in docs.columns if c.startswith("mix_")]
-    if clash:
-        raise ValueError(f"columns {clash} are in the way")
+    spark = docs.sparkSession
+    out_names, docs_names = added(docs), docs.columns
+    # within, columns have names of their own, whatever docs has
+    rows = docs.select(
+        *(F.coalesce(c().cast("string"), F.lit("none")).alias(f"mix_{n}") for n, c in levels),
+        tokens(F.col(text_column)).alias("mix_tokens"), F.col(id_column).alias("mix_id"), F.col(text_column).alias("mix_text"),
+        *(F.col(f"`{c}`").alias(f"mix_column{i}") for i, c in enumerate(docs_names)),
+    )
     names = [f"mix_{n}" for n, _ in levels]
-    rows = docs.select("*", *(F.coalesce(c().cast("string"), F.lit("none")).alias(n) for n, (_, c) in zip(names, levels)), tokens(F.col(text_column)).alias("mix_tokens"))
     held = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*names).agg(F.sum("mix_tokens").alias("t")).limit(MAX_LEAVES + 1).collect()}
     if len(held) > MAX_LEAVES:
         raise ValueError(f"the tree has over {MAX_LEAVES} leaves")
     if total is None:
         total = int(sum(held.values()) * (1.0 if share is None else share))
     plan = budgets(held, total, weights or {}, epochs)
-    spark = docs.sparkSession
     # each epoch but a leaf's last is whole: only what the last one takes is a prefix
     paid = [(*leaf, e, min(n - e * held[leaf], held[leaf]), n - e * held[leaf] >= held[leaf]) for leaf, n in plan.items() for e in range(epochs) if n > e * held[leaf]]
     pays = spark.createDataFrame(paid, ", ".join(f"{n} string" for n in names) + ", mix_epoch int, mix_budget long, mix_whole boolean")
     taken = rows.join(F.broadcast(pays), names)
-    taken = taken.withColumn("mix_place", F.when(F.col("mix_whole"), F.lit(0)).otherwise(_order(seed, F.col("mix_epoch"), F.col(id_column), F.col(text_column))))
+    taken = taken.withColumn("mix_place", F.when(F.col("mix_whole"), F.lit(0)).otherwise(_order(seed, F.col("mix_epoch"), F.col("mix_id"), F.col("mix_text"))))
     taken = taken.withColumn("mix_slice", F.shiftright("mix_place", 60 - (SLICES.bit_length() - 1)).cast("int"))
     key = [*names, "mix_epoch"]
     sums = taken.where("not mix_whole").groupBy(*key, "mix_slice").agg(F.sum("mix_tokens").alias("t"), F.first("mix_budget").alias("b"))
@@ -124,7 +141,8 @@ def mix(
     marked = taken.join(F.broadcast(edge), key, "left")
     sure = marked.where("mix_whole or mix_slice < mix_edge")
     last = marked.where("not mix_whole and mix_slice = mix_edge")
-    run = Window.partitionBy(*key).orderBy("mix_place", id_column, text_column).rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*key).orderBy("mix_place", "mix_id", "mix_text").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("mix_before", F.coalesce(F.sum("mix_tokens").over(run), F.lit(0))).where("mix_before < mix_left").drop("mix_before")
     out = sure.unionByName(last)
-    return out.select(*docs.columns, "mix_epoch", "mix_tokens", F.concat_ws("/", *names).alias("mix_leaf"))
+    epoch, count, leaf = out_names
+    return out.select(*(F.col(f"mix_column{i}").alias(c) for i, c in enumerate(docs_names)), F.col("mix_epoch").alias(epoch), F.col("mix_tokens").alias(count), F.concat_ws("/", *names).alias(leaf))

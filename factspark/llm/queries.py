@@ -27,8 +27,10 @@ MIX_WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("code",): 1.0, ("news",): 2.0, *
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken for a mixture of half the corpus's tokens, a scarce leaf up to four times."""
-    found = mixing.mix(_read(spark, sf_dir, "documents"), MIX_LEVELS, share=0.5, weights=MIX_WEIGHTS, epochs=4, seed=17)
-    return found.select("doc_id", F.col("mix_leaf").alias("leaf"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+    docs = _read(spark, sf_dir, "documents")
+    found = mixing.mix(docs, MIX_LEVELS, share=0.5, weights=MIX_WEIGHTS, epochs=4, seed=17)
+    epoch, tokens, leaf = mixing.added(docs)
+    return found.select("doc_id", F.col(leaf).alias("leaf"), F.col(epoch).alias("epoch"), F.col(tokens).alias("n_tokens"))
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +115,24 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.join(_read(spark, sf_dir, "documents"), 3, 9, 10)
 
 
+#: Links of documents by the shingles that they share, and the smallest id that links lead to.
+_LINKS_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all({_LOWER_SQL.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [hash(w)] ELSE list_distinct([hash(w[i:i + 2]) FOR i IN range(1, len(w) - 1)]) END AS shingles FROM d),
+x AS (SELECT n, unnest(shingles) AS shingle FROM s),
+pairs AS (SELECT a.n AS a, b.n AS b, count(*) AS both FROM x AS a JOIN x AS b USING (shingle) WHERE a.n < b.n GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN s AS sa ON sa.n = a JOIN s AS sb ON sb.n = b WHERE 100 * both >= 90 * (len(sa.shingles) + len(sb.shingles) - both)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, doc) AS (SELECT n, doc_id FROM s UNION SELECT b, doc FROM reach JOIN ways ON a = node)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least_doc AS component_id
+FROM s JOIN (SELECT node, min(doc) AS least_doc FROM reach GROUP BY node) ON node = n"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated probabilities of good quality and of toxicity for each document, and whether it is accepted."""
     docs = _read(spark, sf_dir, "documents")
     found = cotrain.score(docs, cotrain.train(docs, _read(spark, sf_dir, "labels")))
-    return found.withColumn("accepted", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+    return found.withColumn("accepted", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5))
 
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,4 +170,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _URL_SQL, "op6_warc_round_trip": _WARC_SQL, "op10_decontaminate": _WINDOWS_SQL}
+    return {"op1_url_filter": _URL_SQL, "op4_ngram_join": _LINKS_SQL, "op6_warc_round_trip": _WARC_SQL, "op10_decontaminate": _WINDOWS_SQL}

@@ -60,9 +60,15 @@ def test_mix_is_brute_force(spark, share, epochs):
     assert sorted(((x.doc_id, x.mix_epoch, x.mix_tokens, x.mix_leaf) for x in got.collect()), key=str) == brute(rows, total, weights, epochs, 9)
 
 
-def test_empty_table_and_clash(spark, tmp_path):
+def test_empty_table_and_names_in_the_way(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op8_mixture(spark, str(tmp_path)).collect() == []
-    with pytest.raises(ValueError):
-        mixing.mix(df.withColumn("mix_epoch", F.lit(1)), LEVELS, share=0.5)
+    rows = [(i, "a b c", "web", "en", "s", 7, 8, "x") for i in range(20)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string, mix_epoch int, mix_id int, MIX_place string")
+    got = mixing.mix(clash, LEVELS, total=30, seed=9)
+    assert got.columns == [*clash.columns, "mix_epoch_", "mix_tokens", "mix_leaf"] and mixing.added(clash)[0] == "mix_epoch_"
+    found = got.collect()
+    assert len(found) == 10 and {(r.mix_epoch, r.mix_id, r.MIX_place, r.mix_epoch_, r.mix_tokens) for r in found} == {(7, 8, "x", 0, 3)}
+    clash.write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert len(queries.op8_mixture(spark, f"{tmp_path}/b").collect()) == 10
