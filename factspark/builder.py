@@ -13,7 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .operators.aggregates import Fold
 from .operators.grouping import select_shape
@@ -103,7 +106,11 @@ class Fact:
         return Apply(self.rule(), terms)
 
     def with_(self, **locals_: object) -> Fact:
-        """Names of variables that only the body has; any other name a body uses is one too."""
+        """The schema with variables that only bodies have. Any other name that a body uses is a variable too, so this
+        states them and says where one is a member's already."""
+        taken = sorted({plain_name(n) for n in locals_} & set(self.cells))
+        if taken:
+            raise TypeError(f"{self.the} has members {taken}")
         return self
 
     def where(self, body: Callable[[Vars], object]) -> Deduction:
@@ -130,8 +137,8 @@ class Fact:
     def map(self, function: Callable[[dict], object]) -> Mapped:
         return Mapped(self, function)
 
-    def aggregate(self, fold: Fold | None = None, by: list[str] | None = None, **named: Column) -> Aggregated:
-        return Aggregated(self, fold, by or [], named)
+    def aggregate(self, fold: Fold | None = None, by: list[str] | None = None, returns: str = "", **named: Column) -> Aggregated:
+        return Aggregated(self, fold, by or [], named, returns=returns)
 
 
 #: Rules whose bodies are being read, the innermost last.
@@ -232,8 +239,10 @@ class Match:
         return df.select(*(natural(b).alias(n) for n, b in cols.items()))
 
     def plan(self, source: FactSource) -> str:
-        """The order of conjuncts and Spark's plan."""
-        return self.query(source)._jdf.queryExecution().toString()
+        """The order of conjuncts, and Spark's plan."""
+        made = Compiler(source)
+        df, _ = made.rule(self.schema.rule(), self._full())
+        return "\n".join(made.steps) + "\n" + df._jdf.queryExecution().toString()
 
     def select(self, shape: Callable[[Vars], object]) -> Shaped:
         return Shaped(self.schema, shape, self.given)
@@ -241,8 +250,8 @@ class Match:
     def map(self, function: Callable[[dict], object]) -> Mapped:
         return Mapped(self.schema, function, self.given)
 
-    def aggregate(self, fold: Fold | None = None, by: list[str] | None = None, **named: Column) -> Aggregated:
-        return Aggregated(self.schema, fold, by or [], named, self.given)
+    def aggregate(self, fold: Fold | None = None, by: list[str] | None = None, returns: str = "", **named: Column) -> Aggregated:
+        return Aggregated(self.schema, fold, by or [], named, self.given, returns)
 
 
 class _Derived:
@@ -278,17 +287,32 @@ class Mapped(_Derived):
         self.schema, self.function, self.given = schema, function, given
 
     def query(self, source: FactSource) -> Iterator[object]:
-        """Results in the driver, one after another; use query().mapInPandas for results that stay distributed."""
+        """Results in the driver, one after another."""
         return (self.function(r.asDict(recursive=True)) for r in self._rows(source).toLocalIterator())
 
+    def frame(self, source: FactSource, schema: str) -> DataFrame:
+        """Results as rows of a DataFrame: the function runs on the executors and gives a dict of the schema's columns."""
+        function = self.function
+
+        def run(batches):
+            for batch in batches:
+                rows = [function(r) for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+        kinds = to_arrow_schema(T._parse_datatype_string(schema))
+        return self._rows(source).mapInArrow(run, schema)
+
 
 class Aggregated(_Derived):
-    def __init__(self, schema: Fact, fold: Fold | None, by: list[str], named: dict[str, Column], given: dict | None = None):
-        self.schema, self.fold, self.by, self.named, self.given = schema, fold, by, named, given
+    def __init__(self, schema: Fact, fold: Fold | None, by: list[str], named: dict[str, Column], given: dict | None = None, returns: str = ""):
+        self.schema, self.fold, self.by, self.named, self.given, self.returns = schema, fold, by, named, given, returns
 
     def query(self, source: FactSource):
-        """A DataFrame for Spark's aggregates, the fold's result for a Fold."""
+        """A DataFrame for Spark's aggregates and for a Fold by groups (returns: the columns that it closes with), the
+        fold's result for a Fold of all rows."""
         df = self._rows(source)
+        if self.fold is not None and self.by:
+            return self.fold.run_by(df, self.by, self.returns)
         if self.fold is not None:
             return self.fold.run(df)
         return df.groupBy(*self.by).agg(*(c.alias(n) for n, c in self.named.items()))

@@ -109,15 +109,37 @@ def _like(i: Inputs) -> Outcome:
     return Outcome(F.when(glob(text, _text(i["pattern"])), text), "string")
 
 
+def _units(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
+
+
 def _slice(i: Inputs) -> Outcome:
-    """From start up to end, negative ones from the end; of text or bytes."""
+    """From start up to end, negative ones from the end; of bytes, or of text in UTF-16 units as text/length counts them.
+    Half of a character outside of the basic plane becomes U+FFFD."""
     value = plain(i["of"])
     kind = "bytes" if value.type == "bytes" else "string"
     column = as_type(value, kind).column
-    size = (F.octet_length if kind == "bytes" else F.char_length)(column)
+    size = F.octet_length(column) if kind == "bytes" else _units(column)
     place = lambda c: F.when(c < 0, F.greatest(size + c, F.lit(0))).otherwise(F.least(c, size)).cast("int")
     start, end = (place(as_type(i[k], "integer").column) for k in ("start", "end"))
-    return Outcome(F.substring(column, start + 1, F.greatest(end - start, F.lit(0))), kind)
+    length = F.greatest(end - start, F.lit(0))
+    cut = F.substring(column, start + 1, length)
+    if kind == "string":
+        halves = F.substring(F.encode(column, "UTF-16BE"), 2 * start + 1, 2 * length)
+        cut = F.when(F.char_length(column) == size, cut).otherwise(F.decode(halves, "UTF-16BE"))
+    return Outcome(cut, kind)
+
+
+def _whole_power(base: Column, exponent: Column) -> Column:
+    """Exact power of decimals by squaring; null where it has over 38 digits, or for a negative exponent."""
+    one = F.lit(1).cast("decimal(38,0)")
+    left, out, square = exponent.cast("bigint"), one, base
+    for bit in range(7):
+        out = F.when(F.shiftright(left, bit).bitwiseAND(F.lit(1)) == 1, F.try_multiply(out, square).cast("decimal(38,0)")).otherwise(out)
+        square = F.try_multiply(square, square).cast("decimal(38,0)")
+    unit = F.when((base == -1) & (F.pmod(left, F.lit(2)) == 1), -one).when(base == 0, F.when(left == 0, one).otherwise(base)).otherwise(one)
+    return F.when(exponent < 0, F.lit(None)).when(F.abs(base) <= 1, unit).when(left < 128, out)
 
 
 def _to_text(i: Inputs) -> Outcome:
@@ -162,7 +184,7 @@ BUILT_IN: dict[str, Callable[[Inputs], Outcome]] = {
     "text/trim/end": _of_text(lambda c: F.regexp_replace(c, f"{SPACE}+\\z", "")),
     "text/includes": _includes,
     "text/slice": _slice,
-    "text/length": _of_text(lambda c: (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("bigint"), "integer"),
+    "text/length": _of_text(_units, "integer"),
     "text/to/utf8": _of_text(lambda c: F.encode(c, "UTF-8"), "bytes"),
     "utf8/to/text": _to_text,
     "+": _numbers(F.try_add, lambda a, b: a + b, "with"),
@@ -170,7 +192,7 @@ BUILT_IN: dict[str, Callable[[Inputs], Outcome]] = {
     "*": _numbers(F.try_multiply, lambda a, b: a * b, "by"),
     "/": _numbers(None, F.try_divide, "by"),
     "%": _numbers(F.try_mod, F.try_mod, "by", F.try_mod),
-    "**": _numbers(None, F.pow, "by", F.pow),
+    "**": _numbers(None, F.pow, "by", _whole_power),
     "math/absolute": _abs,
 }
 

@@ -53,6 +53,28 @@ class Fold:
         new = self.merge(state, row)
         return state if new is None else new
 
+    def run_by(self, df: DataFrame, by: list[str], returns: str) -> DataFrame:
+        """A row for each group: its key and the columns that close gives as a dict. Each task folds its rows of a group,
+        then a group's states, one for each task, are combined; so no task gathers the rows of a large group."""
+        if self.combine is None:
+            raise ValueError("a fold by groups needs combine")
+        keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
+
+        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            states: dict[tuple, object] = {}
+            for frame in frames:
+                for key, row in zip(zip(*(frame[k] for k in by)), frame.to_dict("records")):
+                    states[key] = self._merge(states[key] if key in states else self.open(), row)
+            yield pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*by, "__state"])
+
+        def whole(frame: pd.DataFrame) -> pd.DataFrame:
+            total = self.open()
+            for s in frame["__state"]:
+                total = self.combine(total, pickle.loads(bytes(s)))
+            return pd.DataFrame([{k: frame[k].iloc[0] for k in by} | self.close(total)])
+
+        return df.mapInPandas(part, f"{keys}, __state binary").groupBy(*by).applyInPandas(whole, f"{keys}, {returns}")
+
     def run(self, df: DataFrame) -> object:
         if self.combine is None:
             state = self.open()

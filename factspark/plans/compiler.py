@@ -23,6 +23,21 @@ def fresh() -> str:
     return f"v{next(_NAMES)}"
 
 
+def describe(c) -> str:
+    """A conjunct on one line."""
+    if isinstance(c, Select):
+        return f"scan {c.the} of {c.of} is {c.is_}"
+    if isinstance(c, Star):
+        return f"scan of {c.of}: " + ", ".join(f"{m.the} is {m.is_}" for m in c.members)
+    if isinstance(c, Formula):
+        return f"{c.name} of {c.inputs} is {c.output}"
+    if isinstance(c, Same):
+        return f"{c.this} same {c.as_}"
+    if isinstance(c, Not):
+        return "not " + "; ".join(map(describe, c.conjuncts()))
+    return f"{c.rule.name if isinstance(c, Apply) else 'recur'} {c.args}"
+
+
 @dataclass
 class Frame:
     """Solutions so far. df None: the one solution that binds nothing. keys: sets of variables that no two rows agree on."""
@@ -54,8 +69,11 @@ class Frame:
 
 class Compiler:
     def __init__(self, source: FactSource, formulas: dict | None = None, limit: int = 1000):
+        """limit: steps of a recursion that makes new values, such as sums; others end and have none."""
         self.source, self.spark, self.limit = source, source.spark, limit
         self.formulas = BUILT_IN | (formulas or {})
+        #: The conjuncts in the order that they were compiled in, those of inner rules further to the right.
+        self.steps: list[str] = []
 
     # -- rules --------------------------------------------------------------------------------------------------------
 
@@ -82,6 +100,7 @@ class Compiler:
         """The frame joined with all conjuncts, in planned order."""
         flat = self.flatten(conjuncts, stack)
         for c in order(self.stars(flat), set(frame.cols)):
+            self.steps.append("  " * len(stack) + describe(c))
             frame = self.step(frame, c, stack)
         return self.seeded(frame)
 
@@ -232,8 +251,13 @@ class Compiler:
     def formula(self, frame: Frame, c: Formula) -> Frame:
         out = self.outcome(frame, c)
         name = fresh()
+        if out.rows and c.output is ABSENT:
+            return frame.where(F.size(out.column) > 0)
         if out.rows:
-            frame = Frame(frame.df.select("*", F.explode(out.column).alias(name)), frame.cols)
+            # each output once for a row, so a key and the output are a key
+            new = is_var(c.output) and c.output not in frame.cols
+            keys = tuple(k | {c.output} for k in frame.keys) if new else frame.keys
+            frame = Frame(frame.df.select("*", F.explode(F.array_distinct(out.column)).alias(name)), frame.cols, keys)
         elif c.output is ABSENT and c.name != "==":
             return frame.where(out.column.isNotNull())
         else:
@@ -262,8 +286,8 @@ class Compiler:
         if len(inner) == 1 and isinstance(inner[0], (Formula, Same)) and all(frame.has(v) for v in inner[0].vars()):
             return frame.where(~F.coalesce(self.holds(frame, inner[0]), F.lit(False)))
         shared = {v for v in c.vars() if v in frame.cols}
-        if len(inner) == 1 and isinstance(inner[0], Select):
-            df, cols, _ = self.pattern(inner[0])
+        if alone := self.alone(inner, stack):
+            df, cols = alone.df, alone.cols
         else:
             left = Frame(frame.only(shared).df.distinct(), frame.only(shared).cols)
             found = self.body(left, inner, stack=stack)
@@ -274,6 +298,18 @@ class Compiler:
         on = [equal(frame.cols[v], Bound(F.col(n), b.type)) for v, (n, b) in right.items()]
         return Frame(frame.df.join(df, on or F.lit(True), "left_anti"), frame.cols, frame.keys)
 
+    def alone(self, inner: list, stack: tuple) -> Frame | None:
+        """The answers of a negation's operand if they come from one scan without what is known outside: then that needn't
+        be computed twice."""
+        flat = self.stars(self.flatten(inner, stack))
+        scans = [x for x in flat if isinstance(x, (Select, Star))]
+        if len(scans) != 1 or not all(isinstance(x, (Select, Star, Formula, Same)) for x in flat):
+            return None
+        try:
+            return self.body(self.unit(), inner, stack=stack)
+        except Unbound:
+            return None
+
     def holds(self, frame: Frame, c) -> Column:
         if isinstance(c, Same):
             return equal(frame.value(c.this), frame.value(c.as_))
@@ -286,8 +322,9 @@ class Compiler:
     def application(self, frame: Frame, c: Apply, stack: tuple) -> Frame:
         rule = c.rule
         self.busy(rule, stack)
+        given = {v for n, v in rule.head.items() if c.args.get(n, WILDCARD) != WILDCARD}
         for name in rule_requires(rule):
-            if name not in c.args or c.args[name] == WILDCARD:
+            if rule.head[name] not in given:
                 raise ReferenceError(f'Rule application omits required parameter "{name}"')
         unknown = set(c.args) - set(rule.head)
         if unknown:
@@ -296,9 +333,13 @@ class Compiler:
             return self.recursive(frame, c, stack)
         wanted = set(frame.cols) | {t for t in c.args.values() if is_var(t)}
         if not rule.branches:
-            missing = [v for n, v in rule.head.items() if not frame.has(c.args.get(n, WILDCARD))]
-            if missing:
-                raise ReferenceError(f"Rule application requires binding for {missing[0]}")
+            for v in dict.fromkeys(rule.head.values()):
+                # names that share a variable are equal, and one of them binds the others
+                terms = sorted((c.args[n] for n, x in rule.head.items() if x == v and n in c.args and c.args[n] != WILDCARD), key=lambda t: not frame.has(t))
+                if not terms or not frame.has(terms[0]):
+                    raise ReferenceError(f"Rule application requires binding for {v}")
+                for t in terms[1:]:
+                    frame = self.same(self.seeded(frame), Same(terms[0], t))
             return frame
         frames = [self.body(frame, self.inlined(c, body), stack=stack + (rule,)).only(wanted) for body in rule.branches.values()]
         return self.union(frames)
@@ -388,7 +429,8 @@ class Compiler:
                     out = part if out is None else out.unionByName(part)
             return out
 
-        table = fixpoint(base, step, self.limit) if any(rs for _, rs in branches) else base.distinct()
+        limit = self.limit if any(self.generates(rest, (rule,)) for rest, recurs in branches if recurs) else None
+        table = fixpoint(base, step, limit) if any(rs for _, rs in branches) else base.distinct()
         df, cols = relation(table, Recur({n: t for n, t in c.args.items()}))
         return self.join(frame, df.distinct(), cols, (frozenset(cols),))
 
@@ -420,7 +462,19 @@ class Compiler:
                     out = part if out is None else out.unionByName(part)
             return out
 
-        return Frame(fixpoint(first, step, self.limit), cols())
+        limit = self.limit if any(self.generates(rest, (c.rule,)) for rest, _ in branches) else None
+        return Frame(fixpoint(first, step, limit), cols())
+
+    @classmethod
+    def generates(cls, body: list, seen: tuple) -> bool:
+        """Whether a body can make values that no fact has: only then a recursion may never end."""
+        for c in body:
+            if isinstance(c, Formula) and c.output is not ABSENT and c.name != "==":
+                return True
+            if isinstance(c, Apply) and not any(c.rule is r for r in seen):
+                if any(cls.generates(b, (*seen, c.rule)) for b in c.rule.branches.values()):
+                    return True
+        return False
 
     @staticmethod
     def ready(rest: list, bound: set[Var]) -> list:

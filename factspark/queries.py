@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import decimal
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +11,15 @@ from pyspark.sql import functions as F
 
 from .builder import UTF8, Collection, Data, Math, Text, fact, same
 from .catalog import tables
-from .operators import count_, sum_
+from .functions.formulas import Outcome, python_formula
+from .operators import Fold, count_, sum_
 from .plans.compiler import Compiler
-from .plans.ir import parse_rule
+from .plans.fixpoint import shared_dir
+from .plans.ir import Apply, Formula, Rule, Select, parse_rule
 from .sources import TripleSource
-from .terms import V
-from .values import constant, tagged
+from .sources.base import CachingSource, InspectingSource
+from .terms import V, _
+from .values import Bound, constant, plain, tagged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,20 +79,16 @@ def collection_array(src):
     return df.select("key", "at", F.coalesce(F.col("value.d"), F.col("value.l").cast("double")).alias("value"))
 
 
-@_add("assert_retract", "SELECT c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 5 <> 0 UNION SELECT 'new ' || i FROM range(3) AS r(i)", "customer")
+@_add("assert_retract", "SELECT n_name AS name FROM nation WHERE n_nationkey % 5 <> 0 UNION SELECT 'new ' || i FROM range(3) AS r(i)", "nation")
 def assert_retract(src):
-    df = src.relations["customer"].df.where("c_mktsegment = 'BUILDING'")
-    of = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
-    from .values import Bound
-
-    made = lambda d: d.select(F.lit("customer/name").alias("the"), of.alias("of"), tagged(Bound(F.col("c_name"), "string")).alias("is"), F.lit("0").alias("cause"))
-    store = TripleSource(made(df))
-    Name = fact("customer", name=str)
-    new = [Name.assert_(name=f"new {i}") for i in range(3)]
-    gone = TripleSource(made(df.where("c_custkey % 5 = 0")))
-    store = store.transact([x for a in new for x in a] + [x for x in fact("customer", name=str).assert_(name="never there").retract()])
-    both = TripleSource(store.df.join(gone.df.select("of"), "of", "left_anti"))
-    return _rows(Name, both, "name")
+    Name = fact("nation", name=str)
+    key = lambda n: n.rpartition("_")[2]
+    known = [(f"nation:{key(n)}", n) for n in (r["n_name"] for r in src.relations["nation"].df.select("n_name").collect())]
+    store = TripleSource.create(src.spark, [("nation/name", of, n) for of, n in known])
+    new = [x for i in range(3) for x in Name.assert_(name=f"new {i}")]
+    gone = [{"retract": ("nation/name", of, n)} for of, n in known if int(key(n)) % 5 == 0]
+    absent = list(Name.assert_(name="never there").retract())
+    return _rows(Name, store.transact(new + gone + absent), "name")
 
 
 @_add(
@@ -216,6 +217,120 @@ def claim_skolem(src):
     return _rows(Card, src, "name", "segment", "this")
 
 
+@_add("claim_is_assert", "SELECT s_name AS name, s_acctbal AS balance, true AS same FROM supplier", "supplier")
+def claim_is_assert(src):
+    Card = fact("card", name=str, balance=float).where(lambda v: [Supplier(this=v.s, name=v.name), fact("supplier", balance=float)(this=v.s, balance=v.balance), Card.claim(name=v.name, balance=v.balance)])
+    claimed = Card().query(src)
+    held = src.relations["supplier"].df.select("s_name", "s_acctbal").collect()
+    asserted = [(fact("card", name=str, balance=float).assert_(name=r[0], balance=r[1]).this.id,) for r in held]
+    known = src.spark.createDataFrame(asserted, "asserted string")
+    return claimed.join(known, F.col("this") == F.col("asserted"), "left").select("name", "balance", F.col("asserted").isNotNull().alias("same"))
+
+
+@_add("claim_floats", "SELECT count(*) AS n, true AS same FROM range(13)", "region")
+def claim_floats(src):
+    values = [1e-05, 2500000000000.25, 1.5, -0.1, 3.0, 1e300, 5e-324, 2.0**-1022, 1 - 2**-53, 123456789.123, 1e22, 0.0, -7.25]
+    store = TripleSource.create(src.spark, [("x/of", str(i), x) for i, x in enumerate(values)])
+    X = fact("x", of=float)
+    Card = fact("card", of=float).where(lambda v: [X(of=v.of), Card.claim(of=v.of)])
+    here = {fact("card", of=float).assert_(of=x).this.id for x in values}
+    return Card().query(store).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("this").isin(list(here))).alias("same"))
+
+
+@_add("claim_explicit_this", "SELECT 'nation:' || n_nationkey AS this, n_name AS label FROM nation", "nation")
+def claim_explicit_this(src):
+    Tag = fact("tag", label=str).where(lambda v: [Nation(this=v.n, name=v.label), Tag.claim(this=v.n, label=v.label)])
+    return _rows(Tag, src, "this", "label")
+
+
+@_add("argument_twice", "SELECT n_name AS name FROM nation WHERE n_nationkey = n_regionkey", "nation")
+def argument_twice(src):
+    Pair = parse_rule({"match": {"a": V.a, "b": V.b, "name": V.name}, "when": [{"match": {"the": "nation/region", "of": V.n, "is": V.r}}, {"match": {"the": "nation/name", "of": V.n, "is": V.name}}, {"match": {"of": V.n, "start": 7, "end": 99, "is": V.a}, "operator": "key"}, {"match": {"of": V.r, "start": 7, "end": 99, "is": V.b}, "operator": "key"}]})
+    key = lambda i: Outcome(F.substring_index(plain(i["of"]).column, ":", -1), "string")
+    df, _ = Compiler(src, {"key": key}).rule(Rule({"name": V.x}, {"where": [Apply(Pair, {"a": V.s, "b": V.s, "name": V.x})]}), {"name": V.x})
+    return df.select("name")
+
+
+@_add("name_twice", "SELECT r_name AS a, r_name AS b FROM region", "region")
+def name_twice(src):
+    Equal = Rule({"this": V.a, "as": V.a})
+    rule = Rule({"a": V.x, "b": V.y}, {"where": [Select("region/name", V.r, V.x), Apply(Equal, {"this": V.x, "as": V.y})]})
+    df, _ = Compiler(src).rule(rule, {"a": V.x, "b": V.y})
+    return df.select("a", "b")
+
+
+@_add("wildcard", "SELECT DISTINCT c_mktsegment AS segment FROM customer", "customer")
+def wildcard(src):
+    return _rows(fact(segment=str).where(lambda v: [Customer(this=_, name=_, segment=v.segment)]), src, "segment")
+
+
+@_add("join_through_same", "SELECT c_name AS customer, s_name AS supplier FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_mktsegment = 'BUILDING'", "customer", "supplier")
+def join_through_same(src):
+    Q = fact(customer=str, supplier=str).where(lambda v: [Customer(name=v.customer, segment="BUILDING", nation=v.n), Supplier(name=v.supplier, nation=v.m), same(v.n, v.m)])
+    return _rows(Q, src, "customer", "supplier")
+
+
+@_add("unit_rule", "SELECT r_name AS name FROM region", "region")
+def unit_rule(src):
+    Any = Rule({"this": V.t})
+    df, _ = Compiler(src).rule(Rule({"name": V.n}, {"where": [Select("region/name", V.r, V.n), Apply(Any, {"this": V.n})]}), {"name": V.n})
+    return df.select("name")
+
+
+@_add("nested_object", "SELECT c_custkey AS key, c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'", "customer", "nation")
+def nested_object(src):
+    n = src.relations["nation"].df
+    c = src.relations["customer"].df.where("c_mktsegment = 'BUILDING'")
+    rows = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.struct(F.col("n_name").alias("label")).alias("at"))
+    store = TripleSource.from_nested(rows, "who", "c_custkey")
+    Q = fact(key=int, name=str, nation=str).where(lambda v: [fact("who", key=int, name=str, at=object)(key=v.key, name=v.name, at=v.place), fact("who", label=str)(this=v.place, label=v.nation)])
+    return _rows(Q, store, "key", "name", "nation")
+
+
+@_add("json_round_trip", "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region")
+def json_round_trip(src):
+    from .sources.files import as_json, read_json
+
+    n, r = src.relations["nation"].df, src.relations["region"].df
+    triple = lambda df, the, of, value, kind: df.select(F.lit(the).alias("the"), of.alias("of"), tagged(Bound(value, kind)).alias("is"), F.lit("0").alias("cause"))
+    of = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
+    facts = triple(n, "nation/name", of("n", "n_nationkey"), F.col("n_name"), "string").unionByName(triple(n, "nation/region", of("n", "n_nationkey"), of("r", "n_regionkey"), "reference")).unionByName(triple(r, "region/name", of("r", "r_regionkey"), F.col("r_name"), "string"))
+    path = f"{shared_dir(src.spark)}/facts-{uuid.uuid4().hex}"
+    as_json(TripleSource(facts)).write.text(path)
+    Q = fact(name=str, region=str).where(lambda v: [Nation(name=v.name, region=v.r), Region(this=v.r, name=v.region)])
+    return _rows(Q, read_json(src.spark, path), "name", "region")
+
+
+@_add("csv_load", "SELECT p_partkey AS key, p_name AS name, CAST(p_size AS BIGINT) AS size FROM part", "part")
+def csv_load(src):
+    from .sources.files import read_csv
+
+    path = f"{shared_dir(src.spark)}/parts-{uuid.uuid4().hex}"
+    src.relations["part"].df.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size")).write.option("header", True).csv(path)
+    store = read_csv(src.spark, path, "part", ["key"], schema="key long, name string, size long")
+    return _rows(fact("part", key=int, name=str, size=int), store, "key", "name", "size")
+
+
+@_add("inspected_and_cached", "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region")
+def inspected_and_cached(src):
+    Q = fact(nation=str, region=str).where(lambda v: [Nation(name=v.nation, region=v.r), Region(this=v.r, name=v.region)])
+    return _rows(Q, InspectingSource(CachingSource(src)), "nation", "region")
+
+
+@_add("python_udf", "SELECT p_partkey AS key, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_size = 7", "part")
+def python_udf(src):
+    words = python_formula(lambda text: text.split(" "), "string", "string", ["of"])
+    Q = fact(key=int, word=str).where(lambda v: [Part(key=v.key, name=v.name, size=7), Formula("words", {"of": v.name}, v.word)])
+    return Q().query(src, {"words": words}).select("key", "word")
+
+
+@_add("fold_by_group", "SELECT p_brand AS brand, count(*) AS n, CAST(max(p_size) AS BIGINT) AS largest FROM part GROUP BY 1", "part")
+def fold_by_group(src):
+    fold = Fold(lambda: [0, 0], lambda s, r: [s[0] + 1, max(s[1], r["size"])], lambda s: {"n": s[0], "largest": s[1]}, lambda a, b: [a[0] + b[0], max(a[1], b[1])])
+    rows = fact(key=int, brand=str, size=int).where(lambda v: [Part(key=v.key, brand=v.brand, size=v.size)])
+    return rows.aggregate(fold, by=["brand"], returns="n long, largest long").query(src)
+
+
 @_add("glob_match", "SELECT p_partkey AS key, p_name AS name FROM part WHERE p_name GLOB '*ring'", "part")
 def glob_match(src):
     return _rows(fact(key=int, name=str).where(lambda v: [Part(key=v.key, name=v.name), Text.match(this=v.name, pattern="*ring")]), src, "key", "name")
@@ -251,6 +366,7 @@ _text("text_trim_start", "SELECT p_partkey AS key, p_name || ' ' AS out FROM par
 _text("text_trim_end", "SELECT p_partkey AS key, ' ' || p_name AS out FROM part", lambda v: [Text.Concat(of=" ", with_=v.x, is_=v.a), Text.Concat(of=v.a, with_=" ", is_=v.b), Text.TrimEnd(of=v.b, is_=v.out)])
 _text("text_includes", "SELECT p_partkey AS key FROM part WHERE contains(p_name, 'an')", lambda v: [Text.includes(this=v.x, slice="an"), Data.same(this="", as_=v.out)], columns=("key",))
 _text("text_slice", "SELECT p_partkey AS key, p_name[-4:-2] AS out FROM part", lambda v: Text.Slice(of=v.x, start=-4, end=-1, is_=v.out))
+_text("text_slice_utf16", "SELECT p_partkey AS key, chr(128512) || substr(p_name, 1, 2) AS out FROM part", lambda v: [Text.Concat(of="\U0001f600", with_=v.x, is_=v.a), Text.Slice(of=v.a, start=0, end=4, is_=v.out)])
 _text("text_length", "SELECT doc_id AS key, CAST(length(text) AS BIGINT) AS out FROM documents", lambda v: Text.Length(of=v.x, is_=v.out), int, _DOC)
 _text("utf8_roundtrip", "SELECT doc_id AS key, text AS out FROM documents", lambda v: [UTF8.FromText(of=v.x, is_=v.b), UTF8.ToText(of=v.b, is_=v.out)], relation=_DOC)
 
@@ -271,6 +387,13 @@ _math("math_pow", "CAST(p_size AS DOUBLE) ** 2 AS out FROM part", lambda v: Math
 _math("math_abs", "CAST(abs(p_size - 30) AS BIGINT) AS out FROM part", lambda v: [Math.Subtraction(of=v.x, by=30, is_=v.n), Math.Absolute(of=v.n, is_=v.out)])
 
 
+@_add("math_pow_exact", "SELECT p_partkey AS key, '12157665459056928801' AS out FROM part", "part")
+def math_pow_exact(src):
+    big = {"of": decimal.Decimal(3), "by": decimal.Decimal(40)}
+    df = fact(key=int, out=object).where(lambda v: [Part(key=v.key), Formula("**", big, v.out)])().query(src)
+    return df.select("key", F.col("out").cast("string").alias("out"))
+
+
 @_add("group_nested", "SELECT n_name AS nation, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS suppliers, count(DISTINCT s_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1", "nation", "supplier")
 def group_nested(src):
     Q = fact(nation=str, supplier=str).where(lambda v: [Supplier(name=v.supplier, nation=v.n), Nation(this=v.n, name=v.nation)])
@@ -291,8 +414,6 @@ def fold_count_sum(src):
 
 @_add("fold_user", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM part", "part")
 def fold_user(src):
-    from .operators import Fold
-
     fold = Fold(lambda: [0, 0], lambda s, r: [s[0] + 1, s[1] + r["size"]], tuple, lambda a, b: [a[0] + b[0], a[1] + b[1]])
     n, total = fact(key=int, size=int).where(lambda v: [Part(key=v.key, size=v.size)]).aggregate(fold).query(src)
     return src.spark.createDataFrame([(int(n), int(total))], "n long, total long")
@@ -360,8 +481,7 @@ def rule_composition(src):
 
 @_add("map_rows", "SELECT r_name || ' (' || r_regionkey || ')' AS label FROM region", "region")
 def map_rows(src):
-    labels = Region.map(lambda r: (f"{r['name']} ({r['this'].split(':')[1]})",)).query(src)
-    return src.spark.createDataFrame(list(labels), "label string")
+    return Region.map(lambda r: {"label": f"{r['name']} ({r['this'].split(':')[1]})"}).frame(src, "label string")
 
 
 @_add(

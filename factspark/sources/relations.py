@@ -32,8 +32,9 @@ class Relation:
             return Bound(F.col(self.key), f"entity:{self.name}")
         if self.key:
             return Bound(F.concat(F.lit(f"{self.name}:"), F.concat_ws(":", *(F.col(k).cast("string") for k in self.key))), "reference")
-        cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sorted(self.columns.values())]
-        return Bound(F.concat(F.lit(f"{self.name}:"), F.sha2(F.concat_ws("|", *cells), 256)), "reference")
+        # with its length before each cell, so that different rows never read alike; a null has none
+        cells = [F.coalesce(F.concat(F.char_length(x).cast("string"), F.lit(":"), x), F.lit("-")) for c in sorted(self.columns.values()) for x in [F.col(c).cast("string")]]
+        return Bound(F.concat(F.lit(f"{self.name}:"), F.sha2(F.concat(*cells), 256)), "reference")
 
     def value(self, member: str) -> Bound:
         if member in self.arrays:
@@ -63,15 +64,16 @@ class RelationSource:
         return (relation, member) if relation and member in relation.members() else None
 
     def star(self, attributes: list[str]) -> Scan | None:
-        """One scan of a table for attributes of its rows, if each row is an entity of its own."""
+        """One scan of a table for attributes of its rows. Without a key equal rows are one entity, so what one row has,
+        the entity has; its hash is only computed where it is asked for."""
         found = [self._parts(a) for a in attributes]
-        if not all(found) or len({p[0].name for p in found}) > 1 or not found[0][0].key:
+        if not all(found) or len({p[0].name for p in found}) > 1:
             return None
         relation = found[0][0]
         values = {a: relation.value(m) for a, (_, m) in zip(attributes, found)}
         entity = relation.entity()
         df = relation.df.select(entity.column.alias("of"), *(v.column.alias(f"a{i}") for i, v in enumerate(values.values())))
-        df = df.where(self._there(["of", *(f"a{i}" for i in range(len(values)))]))
+        df = df.where(self._there([*self._nullable(relation), *(f"a{i}" for i in range(len(values)))]))
         return Scan(df, {"of": Bound(F.col("of"), entity.type)} | {a: Bound(F.col(f"a{i}"), v.type) for i, (a, v) in enumerate(values.items())}, self._keys(relation, {m: a for a, (_, m) in zip(attributes, found)}))
 
     @staticmethod
@@ -81,6 +83,11 @@ class RelationSource:
             return ()
         return (frozenset({"of"}), *(frozenset({n}) for m, n in parts.items() if relation.columns.get(m) == relation.key))
 
+    @staticmethod
+    def _nullable(relation: Relation) -> list[str]:
+        """The entity, if a null key may leave it out."""
+        return ["of"] if relation.key else []
+
     @staticmethod
     def _there(names: list[str]) -> Column:
         out = F.lit(True)
@@ -103,7 +110,7 @@ class RelationSource:
         if df is None:
             empty = self.spark.createDataFrame([], "the string, of string, is string")
             return Scan(empty, {"the": Bound(F.col("the"), "string"), "of": Bound(F.col("of"), "reference"), "is": Bound(F.col("is"), "string")})
-        rows = df.select(F.lit(the).alias("the"), entity.column.alias("of"), value.column.alias("is")).where(self._there(["of", "is"]))
+        rows = df.select(F.lit(the).alias("the"), entity.column.alias("of"), value.column.alias("is")).where(self._there([*self._nullable(relation), "is"]))
         parts = {"the": Bound(F.col("the"), "string"), "of": Bound(F.col("of"), entity.type), "is": Bound(F.col("is"), value.type)}
         keys = (frozenset({"of"}),) if relation and relation.key else ()
         if found and keys:

@@ -139,14 +139,34 @@ def natural(value: Bound) -> Column:
     return plain(value).column
 
 
+def float_text(d: Column) -> Column:
+    """A finite double that is not zero as its 53-bit whole mantissa and power of two, the same text in every language."""
+    size = F.abs(d)
+    # the logarithm may be off by one next to a power of two
+    near = F.least(F.floor(F.log2(size)).cast("int"), F.lit(1023))
+    scaled = size / F.pow(F.lit(2.0), near.cast("double"))
+    power = F.when(scaled >= 2, near + 1).when(scaled < 1, near - 1).otherwise(near)
+    whole = (F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled) * F.lit(2.0**52)).cast("bigint")
+    text = F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"), F.lit("p"), (power - 52).cast("string"))
+    return F.when(F.isnan(d) | (size == F.lit(math.inf)), d.cast("string")).otherwise(text)
+
+
+def float_text_of(value: float) -> str:
+    """The same of a Python float."""
+    if not math.isfinite(value):
+        return "NaN" if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"
+    mantissa, power = math.frexp(abs(value))
+    return f"{'-' if value < 0 else ''}{int(mantissa * 2**53)}p{power - 53}"
+
+
 def canonical(cells: dict[str, Bound]) -> Column:
     """Cells in order of their names, each with type, length and text, so different records have different strings."""
     parts = []
     for name in sorted(cells):
         value = plain(cells[name])
-        if value.type == "any":
-            c = value.column
-            text = F.coalesce(c["s"], c["l"].cast("string"), c["d"].cast("string"), c["b"].cast("string"), F.hex(c["x"]), c["n"].cast("string"), F.lit(""))
+        if value.type in ("any", "float"):
+            c = tagged(value)  # whole floats are integers
+            text = F.coalesce(c["s"], c["l"].cast("string"), float_text(c["d"]), c["b"].cast("string"), F.hex(c["x"]), c["n"].cast("string"), F.lit(""))
             tag: Column = c["t"]
         else:
             text = F.hex(value.column) if value.type == "bytes" else value.column.cast("string")
@@ -165,6 +185,6 @@ def hash_record(record: dict[str, object]) -> str:
     for name in sorted(record):
         value = record[name]
         kind = type_of(value)
-        text = {"null": lambda v: "", "boolean": lambda v: str(v).lower(), "bytes": lambda v: bytes(v).hex().upper(), "reference": lambda v: v.id, "integer": lambda v: str(int(v))}.get(kind, str)(value)
+        text = {"null": lambda v: "", "boolean": lambda v: str(v).lower(), "bytes": lambda v: bytes(v).hex().upper(), "reference": lambda v: v.id, "integer": lambda v: str(int(v)), "float": float_text_of}.get(kind, str)(value)
         out.append(f"{name}:{kind}:{len(text)}:{text};")
     return hashlib.sha256("".join(out).encode()).hexdigest()
