@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import cut, only_ids, pieces, small_batches
+from .common import cut, discard, only_ids, pieces, small_batches
 from .graph import components
 
 BLOCK, FANOUT = 256, 16
@@ -99,6 +99,7 @@ def _word_classes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counted = cut(docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     found = _most_frequent(counted, "w", "n", FREQUENT)
+    discard(docs.sparkSession, counted)
     keys = found["w"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.log2(found["n"].to_numpy()[order]).astype(np.int16)
@@ -237,7 +238,9 @@ def _order(docs: DataFrame, k: int, num: int, den: int) -> Order:
                 yield pa.RecordBatch.from_arrays([pa.array(textkit.signed(np.concatenate(kept or [np.zeros(0, np.uint64)])))], ["s"])
 
     counted = docs.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-    found = _most_frequent(cut(counted, "frequent"), "s", "n", FREQUENT)
+    counted = cut(counted, "frequent")
+    found = _most_frequent(counted, "s", "n", FREQUENT)
+    discard(docs.sparkSession, counted)
     shared.unpersist()
     return Order(order.words, order.classes, np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64)))
 
@@ -278,6 +281,7 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     shared.unpersist()
     leaders = tokens.groupBy("s").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).where("leader < most").drop("most")
     members = cut(tokens.join(leaders, "s").select("leader", "rep").distinct(), "members")
+    discard(spark, tokens)
     counts = members.groupBy("leader").agg(F.count(F.lit(1)).alias("c"))
     sizes = known.groupBy(F.col("id").alias("rep")).agg(F.max("n").alias("n"), F.min("n").alias("m"))
     placed = members.join(counts, "leader").join(sizes, "rep")
@@ -287,7 +291,9 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
     placed = placed.select("leader", "rep", "n", "m", "c", F.when(large, step).otherwise(0).cast("long").alias("b2"))
     shares = placed.where(large).groupBy("leader", "b2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
     placed = placed.join(shares, ["leader", "b2"], "left")
-    placed = cut(placed.select("leader", "b2", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("shares"))).cast("long").alias("b3"), "rep", "n", "m", large.alias("large")), "placed")
+    split = cut(placed.select("leader", "b2", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("shares"))).cast("long").alias("b3"), "rep", "n", "m", large.alias("large")), "placed")
+    discard(spark, members)
+    placed = split
     blocks = placed.where("large").select("leader", "b2", "b3").distinct()
     seats = placed.select("leader", "b2", "b3", "rep").unionByName(blocks.select("leader", "b2", "b3", F.col("leader").alias("rep"))).distinct()
     texts = only_ids(rows.where("id is not null"), "id", seats.select("rep"))
@@ -320,7 +326,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_column:
     """The rows of docs, with all their columns, that stand for their component: the smallest id's, one row of it (that
     with the smallest text). Rows without id all stay; so does each document without words."""
     found = join(docs, k, num, den, id_column, text_column)
-    stay = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("__id")).distinct()
-    rest = [c for c in docs.columns if c not in (id_column, text_column)]
-    kept = docs.join(stay, F.col(id_column) == F.col("__id")).groupBy("__id").agg(F.min(F.struct(text_column, id_column, *rest)).alias("__row"))
-    return kept.select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns)).unionByName(docs.where(F.col(id_column).isNull()))
+    stay = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("stays")).distinct()
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_column, text_column)]
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.struct(F.col(text_column), F.col(id_column), *rest).alias("row"))
+    kept = rows.join(stay, F.col("id") == F.col("stays")).groupBy("id").agg(F.min("row").alias("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where(F.col(id_column).isNull()))
