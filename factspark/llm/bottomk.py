@@ -7,6 +7,8 @@ give estimates of resemblance, containment and the number of distinct shingles;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +83,9 @@ def _bucket(key: Column, bounds: list[int], parts: int) -> Column:
     return cell(0, len(bounds) - 1)
 
 
-def with_next(docs: DataFrame, order: str, tie: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, order: str, tie: str, columns: list[str], more: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """docs with next_<c> for each of columns: its value in the next row by (order, tie), in the first row for the last.
+    more: adds columns that are made of a row; it is applied to all rows once, and to the few that ranges begin with.
 
     Rows are dealt once, by ranges of `order`; where a range ends, the next one's first row is joined in. `order` is a
     long, its nulls come first.
@@ -96,15 +99,16 @@ def with_next(docs: DataFrame, order: str, tie: str, columns: list[str]) -> Data
     bounds = bounds if len(bounds) > 1 else [bounds[0], bounds[0] + 1]
     placed = docs.withColumn("__key", key).withColumn("__bucket", _bucket(key, bounds, -(-wanted // cells)))
     w = Window.partitionBy("__bucket").orderBy("__key", tie)
-    rows = placed.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns), F.lead(F.lit(True)).over(w).alias("__inside"))
+    whole = more(placed)
+    rows = whole.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns), F.lead(F.lit(True)).over(w).alias("__inside"))
     # a row for each bucket: as many as partitions, whatever the number of documents
     firsts = sorted((r[0], r[1]) for r in docs.select(_bucket(key, bounds, -(-wanted // cells)).alias("b"), key.alias("k")).groupBy("b").agg(F.min("k")).collect())
     follow = [(b, firsts[(n + 1) % len(firsts)][1]) for n, (b, _) in enumerate(firsts)]
     heads = spark.createDataFrame(follow, "__b int, __k long")
-    least = placed.join(F.broadcast(heads), F.col("__key") == F.col("__k")).groupBy("__b").agg(F.min(F.struct(F.col(tie).alias("__tie"), *columns)).alias("__head"))
+    least = more(placed.join(F.broadcast(heads), F.col("__key") == F.col("__k"))).groupBy("__b").agg(F.min(F.struct(F.col(tie).alias("__tie"), *columns)).alias("__head"))
     joined = rows.join(least, F.col("__bucket") == F.col("__b"), "left")
     out = [F.when(F.col("__inside"), F.col(f"next_{c}")).otherwise(F.col(f"__head.{c}")).alias(f"next_{c}") for c in columns]
-    return joined.select(*docs.columns, *out)
+    return joined.select(*(c for c in whole.columns if c not in ("__key", "__bucket")), *out)
 
 
 def compare_edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = SIZE, width: int = WIDTH) -> DataFrame:
@@ -114,7 +118,7 @@ def compare_edited(docs: DataFrame, id_column: str = "doc_id", text_column: str
     the next larger id (rows with one id: by text; nulls first), for the last the first. Null texts are empty.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch", k, width), "id", "text", ["text", "sketch"])
+    rows = with_next(rows, "id", "text", ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch", k, width))
     size = F.char_length("text")
     tail = F.floor(size / 4).cast("int")
     rows = rows.withColumn("n_chars", size.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), size - tail), F.substring(F.col("next_text"), F.lit(1), tail)))
