@@ -69,15 +69,20 @@ FROM d LEFT JOIN hits USING (n) LEFT JOIN items USING (n)"""
 
 #: Rules of the url query; the longest that fits decides.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Hosts that the url query lists besides, each for its subdomains too.
-LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x") for top in ("com", "net", "org")]
+#: Hosts that the url query lists besides, each for its subdomains too: some names, and as many numbered ones.
+LISTED_NAMES, LISTED_TOPS, LISTED_NUMBERED = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"), ("com", "net", "org"), 100_000
+
+
+def listed_hosts(spark: SparkSession) -> DataFrame:
+    """The list as a table of one column."""
+    names = spark.createDataFrame([(f"{name}.example.{top}",) for name in LISTED_NAMES for top in LISTED_TOPS], "host string")
+    return names.unionByName(spark.range(LISTED_NUMBERED).select(F.concat(F.lit("listed-"), F.col("id").cast("string"), F.lit(".example.net")).alias("host")))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of each page: the longest fitting rule's, else that of the listed hosts."""
     pages = _read(spark, sf_dir, "pages")
-    hosts = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
-    return url_cascade.judge(pages, url_cascade.build_filter(pages, [url_cascade.Rule(*r) for r in URL_RULES], hosts))
+    return url_cascade.judge(pages, url_cascade.build_filter(pages, [url_cascade.Rule(*r) for r in URL_RULES], listed_hosts(spark)))
 
 
 _URL_SQL = f"""
@@ -87,14 +92,18 @@ WITH parts AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 rules(action, rule_host, rule_path) AS (VALUES {", ".join(map(str, URL_RULES))}),
-listed(listed_host) AS (VALUES {", ".join(f"('{h}')" for h in LISTED_HOSTS)}),
+listed AS (
+  SELECT name || '.example.' || top AS listed_host FROM (VALUES {", ".join(f"('{n}')" for n in LISTED_NAMES)}) AS n(name), (VALUES {", ".join(f"('{t}')" for t in LISTED_TOPS)}) AS t(top)
+  UNION ALL SELECT 'listed-' || i || '.example.net' FROM range({LISTED_NUMBERED}) AS r(i)),
 numbered AS (SELECT row_number() OVER () AS n, * FROM parts),
 best AS (
   SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
   FROM numbered JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  GROUP BY n)
+  GROUP BY n),
+domains AS (SELECT n, array_to_string(string_split(host, '.')[i:], '.') AS domain FROM numbered, unnest(range(1, len(string_split(host, '.')) + 1)) AS u(i)),
+bad AS (SELECT DISTINCT n FROM domains JOIN listed ON domain = listed_host)
 SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE host = listed_host OR suffix(host, '.' || listed_host)) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(action, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE bad.n = numbered.n) THEN 'block' ELSE 'allow' END) AS verdict
 FROM numbered LEFT JOIN best USING (n)"""
 
 
@@ -120,8 +129,8 @@ _LINKS_SQL = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all({_LOWER_SQL.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
 s AS (SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [hash(w)] ELSE list_distinct([hash(w[i:i + 2]) FOR i IN range(1, len(w) - 1)]) END AS shingles FROM d),
 x AS (SELECT n, unnest(shingles) AS shingle FROM s),
-pairs AS (SELECT a.n AS a, b.n AS b, count(*) AS both FROM x AS a JOIN x AS b USING (shingle) WHERE a.n < b.n GROUP BY ALL),
-links AS (SELECT a, b FROM pairs JOIN s AS sa ON sa.n = a JOIN s AS sb ON sb.n = b WHERE 100 * both >= 90 * (len(sa.shingles) + len(sb.shingles) - both)),
+pairs AS (SELECT a.n AS a, b.n AS b, count(*) AS common FROM x AS a JOIN x AS b USING (shingle) WHERE a.n < b.n GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN s AS sa ON sa.n = a JOIN s AS sb ON sb.n = b WHERE 100 * common >= 90 * (len(sa.shingles) + len(sb.shingles) - common)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(node, doc) AS (SELECT n, doc_id FROM s UNION SELECT b, doc FROM reach JOIN ways ON a = node)
 SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least_doc AS component_id

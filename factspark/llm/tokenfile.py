@@ -18,7 +18,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, pieces, small_batches
+from .common import cut, partitions, pieces, small_batches
 
 FRAME_TOKENS, FILE_BYTES, LEVEL = 1 << 16, 8 << 20, 3
 END = "\xb1\xea\x92\x8f"
@@ -183,17 +183,20 @@ class FileWriter:
 
 
 class FileReader:
-    """Random access to the bytes of one file; only the frames asked for are decompressed, and each is verified."""
-
-    def __init__(self, content: bytes):
-        self.content = content
-        count, flag, magic = struct.unpack("<IBI", content[-9:])
+    """Random access to one file: its bytes, or its size and a function that fetches (start, length) of them. Only its end
+    and the frames asked for are fetched; each frame is verified."""
+
+    def __init__(self, content: bytes | None = None, size: int = 0, fetch: Callable[[int, int], bytes] | None = None):
+        if content is not None:
+            size, fetch = len(content), lambda start, length: content[start : start + length]
+        self.fetch = fetch
+        count, flag, magic = struct.unpack("<IBI", fetch(size - 9, 9))
         if magic != 0x8F92EAB1 or flag != 0x80:
             raise ValueError("no seek table")
-        table = content[len(content) - 9 - 12 * count : -9]
+        table = fetch(size - 9 - 12 * count, 12 * count)
         self.sizes = list(struct.iter_unpack("<III", table))
         self.starts = np.concatenate(([0], np.cumsum([x[0] for x in self.sizes]))).tolist()
-        body = content[self.starts[-2] + 8 : self.starts[-1]]
+        body = fetch(self.starts[-2] + 8, self.starts[-1] - self.starts[-2] - 8)
         self.part, self.file = struct.unpack("<II", body[:8])
         self.index = list(_ENTRY.iter_unpack(body[8:]))
         self.tokens = sum(x[3] for x in self.index)
@@ -201,7 +204,7 @@ class FileReader:
 
     def frame(self, n: int) -> list[tuple[int | None, np.ndarray]]:
         packed, raw_size, checksum = self.sizes[n]
-        raw = zstandard.ZstdDecompressor().decompress(self.content[self.starts[n] : self.starts[n] + packed], max_output_size=raw_size)
+        raw = zstandard.ZstdDecompressor().decompress(self.fetch(self.starts[n], packed), max_output_size=raw_size)
         if len(raw) != raw_size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != checksum:
             raise ValueError(f"frame {n} is damaged")
         self.decompressed += 1
@@ -224,6 +227,33 @@ class FileReader:
         return found
 
 
+def stored_files(spark: SparkSession, path: str) -> Iterator[FileReader]:
+    """Readers of the files of a folder on any file system that Spark reaches; each fetches only what it is asked for."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in sorted(fs.listStatus(folder), key=lambda s: s.getPath().getName()):
+        if status.isFile() and status.getLen() and not status.getPath().getName().startswith(("_", ".")):
+
+            def fetch(start: int, length: int, at=status.getPath()) -> bytes:
+                stream = fs.open(at)
+                try:
+                    stream.seek(start)
+                    return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+                finally:
+                    stream.close()
+
+            yield FileReader(size=status.getLen(), fetch=fetch)
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> dict[int, np.ndarray]:
+    """Token ids of a few documents, from the driver: only the ends of files and the frames that may hold them are read."""
+    wanted, found = set(doc_ids), {}
+    for file in stored_files(spark, path):
+        found |= file.lookup(wanted)
+    return found
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Write the ids of each whole text in ascending order of document id, nulls first; a null text is empty.
 
@@ -288,6 +318,11 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([getattr(f, k) for f in files], pa.int64()) for k in ("part", "file", "tokens")], ["part", "file", "tokens"])
 
     totals = _contents(spark, path).mapInArrow(sums, "part long, file long, tokens long")
-    before = totals.select("part", "file", F.coalesce(F.sum("tokens").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # sums of a part's files, then of the parts: a row for each is all that comes together
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = cut(totals, "files")
+    parts = totals.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", earlier(Window.orderBy("part"), "tokens").alias("parts"))
+    before = totals.select("part", "file", earlier(Window.partitionBy("part").orderBy("file"), "tokens").alias("files")).join(parts, "part")
+    before = before.select("part", "file", (F.col("files") + F.col("parts")).alias("before"))
     docs = _contents(spark, path).mapInArrow(run, schema).join(before, ["part", "file"])
     return docs.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "part", "file", *["ids"] * with_ids)

@@ -54,3 +54,25 @@ def test_pipeline_is_brute_force(spark, tmp_path):
         assert (x.start, x.n_tokens) == (start, len(t.encode(text[x.doc_id], add_special_tokens=False).ids) + 1)
         start += x.n_tokens
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    wide = SCHEMA + ", mix_epoch int, __id long, id string, row string, place long, n_tokens int, rep long"
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "s1", 1), (1, text, "en", "s1", 1), (2, text + " x", "en", "s2", 1), (None, text, None, None, None), (3, None, "fr", None, 0), (4, "", None, "s1", 0), (5, "long " * 60_000, "en", "s3", 5), (6, "x" * 300_000, "en", "s3", 5)]
+    rows = [(*r, 1, 2, "a", "b", 3, 4, 5) for r in rows]
+    for folder, docs in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(docs, wide).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 1, 1), (9, None, None)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "a b")] if docs else [], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+        step = spark.read.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        kept = []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, f"{tmp_path}/{folder}")
+            step.write.parquet(f"{tmp_path}/{folder}/{name}")
+            step = spark.read.parquet(f"{tmp_path}/{folder}/{name}")
+            assert step.columns == [x.split()[0] for x in wide.split(", ")]
+            kept.append(sorted((x.doc_id or 0 for x in step.collect())))
+        if docs:
+            assert kept[:3] == [[0, 1, 1, 2, 3, 4, 5, 6], [0, 1, 3, 4, 5, 6], [0, 1, 3, 4, 5, 6]]
+        assert sorted((x.doc_id or 0 for x in corpus_pipeline.STAGES[-1][1](spark, step, f"{tmp_path}/{folder}").collect())) == kept[3]

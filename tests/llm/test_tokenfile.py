@@ -64,6 +64,24 @@ def test_frames_stand_alone(monkeypatch):
         list(tokenfile.FileReader(bytes(broken)).documents())
 
 
+def test_lookup_reads_ends_and_frames_only(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text number {i} " * (i % 7)) for i in range(300)]
+    path = written(spark, rows, tmp_path)
+    assert {i: t.tolist() for i, t in tokenfile.lookup(spark, path, [5, 299, 1000]).items()} == {i: Tokenizer.from_file(PATH).encode(rows[i][1], add_special_tokens=False).ids + [2] for i in (5, 299)}
+    read = 0
+    for file in tokenfile.stored_files(spark, path):
+        real = file.fetch
+
+        def fetch(start, length, real=real):
+            nonlocal read
+            read += length
+            return real(start, length)
+
+        file.fetch = fetch
+        file.lookup([5])
+    assert 0 < read < sum(p.stat().st_size for p in (tmp_path / "files").glob("part-*")) / 2
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op7_token_files(spark, str(tmp_path)).collect() == []

@@ -47,6 +47,16 @@ def test_cascade_is_exact(spark):
     assert not url_cascade.build(spark.createDataFrame([], "k string"), universe).contains(*url_cascade.hashed(rest)).any()
 
 
+def test_large_list(spark):
+    hosts = queries.listed_hosts(spark)
+    urls = [f"http://{r}.example.net/" for i in range(3000) for r in (f"listed-{40 * i}", f"unlisted-{i}")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    made = url_cascade.build_filter(pages, RULES, hosts)
+    assert len(made.hosts.levels) > 2
+    got = {r.page_id: r.verdict for r in url_cascade.judge(pages, made).collect()}
+    assert got == {i: "block" if i % 2 == 0 and i // 2 * 40 < queries.LISTED_NUMBERED else "allow" for i in range(6000)}
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, host int")
     made = url_cascade.build_filter(pages, RULES, spark.createDataFrame([("h",)], "h string"))
@@ -54,7 +64,7 @@ def test_empty_table(spark):
 
 
 def test_query_is_its_sql(spark, tmp_path):
-    spark.createDataFrame(list(enumerate(URLS)) + [(99, "http://free-bets.example.com/en/1")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(list(enumerate(URLS)) + [(99, "http://free-bets.example.com/en/1"), (100, "http://a.listed-99999.example.net/x"), (101, "http://listed-100000.example.net/x"), (102, "http://listed-7.example.net.de/x")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = queries.op1_url_filter(spark, str(tmp_path)).orderBy(F.col("page_id")).collect()
     duckdb.sql(f"create or replace view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     want = duckdb.sql(queries.oracle_sql()["op1_url_filter"] + " order by page_id").fetchall()
