@@ -43,6 +43,22 @@ def shred(record: dict) -> Iterable[tuple[str, Ref, object]]:
             yield name, entity, value
 
 
+def _one_type(kinds: set[str]) -> str:
+    """The type in which facts of these types are scanned."""
+    known = kinds - {"float", "integer"}
+    if not known:
+        return "integer" if kinds == {"integer"} else "float"
+    return "any" if len(kinds) > 1 or known & {"null", "any"} else known.pop()
+
+
+def _types(facts: Iterable[tuple[str, str]], before: dict[str, str] | None = None) -> dict[str, str]:
+    """Type of each attribute, given (attribute, type) of facts and the types before them."""
+    kinds: dict[str, set[str]] = {the: {kind} for the, kind in (before or {}).items()}
+    for the, kind in facts:
+        kinds.setdefault(the, set()).add(kind)
+    return {the: _one_type(found) for the, found in kinds.items()}
+
+
 class TripleSource:
     """Facts in a DataFrame of SCHEMA. Attributes whose facts are all of one type are scanned as a plain column of it.
 
@@ -57,7 +73,7 @@ class TripleSource:
         """From facts ({the, of, is} or (the, of, is)) or one nested record; equal facts are one."""
         rows = list(shred(facts)) if isinstance(facts, dict) else [(f["the"], f["of"], f["is"]) if isinstance(f, dict) else tuple(f) for f in facts]
         made = [(the, of.id if isinstance(of, Ref) else str(of), tag_value(value), "0") for the, of, value in rows]
-        return cls(spark.createDataFrame(made, SCHEMA).dropDuplicates(["the", "of", "is"]))
+        return cls(spark.createDataFrame(made, SCHEMA).dropDuplicates(["the", "of", "is"]), _types((the, v["t"]) for the, _, v, _ in made))
 
     @classmethod
     def from_nested(cls, df: DataFrame, namespace: str, key: str) -> TripleSource:
@@ -100,7 +116,7 @@ class TripleSource:
     def types(self) -> dict[str, str]:
         if self._types is None:
             rows = self.df.groupBy("the").agg(F.collect_set("is.t").alias("t")).collect()
-            self._types = {r["the"]: r["t"][0] if len(r["t"]) == 1 and r["t"][0] != "null" else "float" if sorted(r["t"]) == ["float", "integer"] else "any" for r in rows}
+            self._types = {r["the"]: _one_type(set(r["t"])) for r in rows}
         return self._types
 
     def scan(self, the=None, of=None, is_=None, type=None) -> Scan:
@@ -143,7 +159,9 @@ class TripleSource:
         kept = self.df.join(F.broadcast(gone), same, "left_anti")
         # the driver holds a transaction's facts, so they may go to all tasks
         new = rows("assert").join(kept.select(*(F.col(k).alias(f"x_{k}") for k in keys)), same, "left_anti")
-        return TripleSource(kept.unionByName(new), version=version)
+        # of what is retracted a type may stay, which is right, if wider than need be
+        types = None if self._types is None else _types(((the, v["t"]) for (the, _, _), (kind, v) in last.items() if kind == "assert"), self._types)
+        return TripleSource(kept.unionByName(new), types, version)
 
 
 def Bound_any(column, kind: str | None, data_type=None):

@@ -1,8 +1,9 @@
 """Streams of transactions and the answers of rules after each.
 
 Rules with negation, recursion or distinct answers aren't incremental in Structured Streaming, so each micro-batch of
-assertions and retractions is merged into the stored facts, and the rules are evaluated on what is stored then. The
-stored facts are a table for each batch number: a batch that runs again writes the same table.
+assertions and retractions is added to a log, and the rules are evaluated on the facts that the log leaves. The log has a
+table for each batch number, so a batch that runs again writes the same table; after each SNAPSHOT batches all facts are
+written as one, and later batches read that and the log since.
 """
 
 from __future__ import annotations
@@ -34,35 +35,54 @@ def facts_of(stream: DataFrame, namespace: str, key: str, op: str = "assert") ->
     return rows.select(F.lit(op).alias("op"), F.col("c.the").alias("the"), "of", F.col("c.is").alias("is"), F.lit(None).cast("string").alias("cause"))
 
 
-def _latest(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """The facts stored by the last batch before this one."""
+#: Batches after which all facts are written as one table.
+SNAPSHOT = 16
+
+
+def _stored(spark: SparkSession, path: str, upto: int) -> tuple[int, list[int]]:
+    """The last whole snapshot of a batch up to this one (-1: none), and the log's batches after it, up to this one."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = [int(x.getPath().getName()[6:]) for x in fs.listStatus(folder)] if fs.exists(folder) else []
-    done = [b for b in found if b < before and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/batch-{b}/_SUCCESS"))]
-    return spark.read.schema(SCHEMA).parquet(f"{path}/batch-{max(done)}") if done else spark.createDataFrame([], SCHEMA)
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [n.split("-") for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    numbers = {kind: sorted(int(n) for k, n in done if k == kind and int(n) <= upto) for kind in ("snapshot", "batch")}
+    last = max(numbers["snapshot"], default=-1)
+    return last, [n for n in numbers["batch"] if n > last]
+
+
+def facts_upto(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The facts after a batch. A fact keeps the cause of its first assertion since it was last retracted; within a batch
+    a retraction wins. For each fact the snapshot and the few batches since have an event each at most."""
+    last, batches = _stored(spark, path, number)
+    log = spark.createDataFrame([], f"op string, {SCHEMA}, b int")
+    for n in batches:
+        log = log.unionByName(spark.read.schema(f"op string, {SCHEMA}").parquet(f"{path}/batch-{n}").withColumn("b", F.lit(n)))
+    if last >= 0:
+        held = spark.read.schema(SCHEMA).parquet(f"{path}/snapshot-{last}")
+        log = log.unionByName(held.withColumn("op", F.lit("assert")).withColumn("b", F.lit(last)))
+    events = log.groupBy("the", "of", "is").agg(F.collect_set(F.struct("b", "op", "cause")).alias("e"))
+    gone = F.coalesce(F.array_max(F.transform(F.filter("e", lambda x: x["op"] == "retract"), lambda x: x["b"])), F.lit(-1))
+    since = F.array_min(F.filter("e", lambda x: (x["op"] == "assert") & (x["b"] > F.col("gone"))))
+    left = events.withColumn("gone", gone).withColumn("first", since).where("first is not null")
+    return left.select("the", "of", "is", F.col("first.cause").alias("cause"))
 
 
 def run_rules(instructions: DataFrame, path: str, queries: dict[str, Match], sink: Callable[[str, DataFrame, int], None], checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Start a stream: store its facts under path, and give sink each query's name and answers after every batch.
+    """Start a stream: store its instructions under path, and give sink each query's name and answers after every batch.
 
     Within a batch a retraction wins over an assertion of the same fact. trigger: as for writeStream.trigger().
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        keys = ["the", "of", "is"]
-        old = _latest(spark, path, number)
-        gone = batch.where("op = 'retract'").select(*keys).distinct()
-        new = batch.where("op = 'assert'").select(*keys, F.lit(str(number)).alias("cause"))
-        both = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
-        # a fact that was there keeps its cause
-        kept = both.groupBy(*keys).agg(F.min_by("cause", "age").alias("cause")).alias("k")
-        g = gone.alias("g")
-        kept = kept.join(g, [F.col(f"k.{c}").eqNullSafe(F.col(f"g.{c}")) for c in keys], "left_anti")
-        kept.write.mode("overwrite").parquet(f"{path}/batch-{number}")
-        source = TripleSource(spark.read.schema(SCHEMA).parquet(f"{path}/batch-{number}"), version=number)
+        made = batch.select("op", "the", "of", "is", F.lit(str(number)).alias("cause")).distinct()
+        made.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        facts = facts_upto(spark, path, number)
+        if number % SNAPSHOT == SNAPSHOT - 1:
+            facts.write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
+            facts = spark.read.schema(SCHEMA).parquet(f"{path}/snapshot-{number}")
+        source = TripleSource(facts, version=number)
         for name, match in queries.items():
             sink(name, match.query(source), number)
 

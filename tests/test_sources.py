@@ -1,3 +1,5 @@
+import random
+
 from factspark import CachingSource, Collection, Data, InspectingSource, Math, Ref, Relation, RelationSource, Text, TripleSource, fact
 from factspark.functions import python_formula
 from factspark.plans.ir import Formula
@@ -78,3 +80,35 @@ def test_stream_of_facts(spark, tmp_path):
     query.awaitTermination()
     last = max(n for _, n in found)
     assert found["boss", last] == [("b",), ("c",)] and found["top", last] == [("a",)]
+
+
+def test_log_of_batches(spark, tmp_path, monkeypatch):
+    """Random assertions and retractions, batch by batch, against a plain dictionary; snapshots in between."""
+    from factspark.sources.triples import SCHEMA, tag_value
+    from factspark.streaming import continuous
+
+    monkeypatch.setattr(continuous, "SNAPSHOT", 3)
+    r, path, held = random.Random(11), str(tmp_path / "log"), {}
+    for n in range(8):
+        made = [(r.choice(["assert", "assert", "retract"]), f"x/{r.randint(0, 2)}", str(r.randint(0, 2)), r.choice([1, "1", 2.5, None])) for _ in range(6)]
+        spark.createDataFrame([(op, the, of, tag_value(v), str(n)) for op, the, of, v in made], f"op string, {SCHEMA}").write.parquet(f"{path}/batch-{n}")
+        for op, *key in made:
+            if op == "assert":
+                held.setdefault(tuple(map(repr, key)), str(n))
+        for op, *key in made:
+            if op == "retract":
+                held.pop(tuple(map(repr, key)), None)
+        facts = continuous.facts_upto(spark, path, n)
+        if n % 3 == 2:
+            facts.write.parquet(f"{path}/snapshot-{n}")
+            assert continuous._stored(spark, path, n) == (n, [])
+        got = {(repr(f["the"]), repr(f["of"]), repr({"integer": f["is"]["l"], "string": f["is"]["s"], "float": f["is"]["d"], "null": None}[f["is"]["t"]])): f["cause"] for f in facts.collect()}
+        assert got == held
+
+
+def test_types_are_known_without_a_scan(spark):
+    db = TripleSource.create(spark, [("a/x", "1", 1), ("a/x", "2", 2.5), ("a/y", "1", "t"), ("a/z", "1", None), ("a/w", "1", 4)])
+    assert db._types == {"a/x": "float", "a/y": "string", "a/z": "any", "a/w": "integer"}
+    after = db.transact([{"assert": ("a/y", "2", 3)}, {"assert": ("a/v", "2", True)}, {"retract": ("a/w", "1", 4)}])
+    assert after._types == {"a/x": "float", "a/y": "any", "a/z": "any", "a/w": "integer", "a/v": "boolean"}
+    assert TripleSource(db.df).types == db._types
