@@ -128,8 +128,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKS_SQL = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all({_LOWER_SQL.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
 s AS (SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [hash(w)] ELSE list_distinct([hash(w[i:i + 2]) FOR i IN range(1, len(w) - 1)]) END AS shingles FROM d),
-x AS (SELECT n, unnest(shingles) AS shingle FROM s),
-pairs AS (SELECT a.n AS a, b.n AS b, count(*) AS common FROM x AS a JOIN x AS b USING (shingle) WHERE a.n < b.n GROUP BY ALL),
+x AS (SELECT n, len(shingles) AS size, unnest(shingles) AS shingle FROM s),
+pairs AS (SELECT a.n AS a, b.n AS b, count(*) AS common FROM x AS a JOIN x AS b USING (shingle) WHERE a.n < b.n AND 100 * a.size >= 90 * b.size AND 100 * b.size >= 90 * a.size GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN s AS sa ON sa.n = a JOIN s AS sb ON sb.n = b WHERE 100 * common >= 90 * (len(sa.shingles) + len(sb.shingles) - common)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(node, doc) AS (SELECT n, doc_id FROM s UNION SELECT b, doc FROM reach JOIN ways ON a = node)
