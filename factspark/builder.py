@@ -286,6 +286,11 @@ class Mapped(_Derived):
     def __init__(self, schema: Fact, function: Callable[[dict], object], given: dict | None = None):
         self.schema, self.function, self.given = schema, function, given
 
+    def map(self, function: Callable[[object], object]) -> Mapped:
+        """The results mapped again: what a rule concludes with is any function of what it concluded before."""
+        before = self.function
+        return Mapped(self.schema, lambda row: function(before(row)), self.given)
+
     def query(self, source: FactSource) -> Iterator[object]:
         """Results in the driver, one after another."""
         return (self.function(r.asDict(recursive=True)) for r in self._rows(source).toLocalIterator())

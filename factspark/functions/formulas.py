@@ -19,7 +19,7 @@ Inputs = dict[str, Bound]
 
 class Outcome(NamedTuple):
     column: Column
-    type: str
+    type: str | dict[str, str]  # of a record's fields, if it is one
     rows: bool = False  # the column is an array: one row for each element
 
 
@@ -197,10 +197,10 @@ BUILT_IN: dict[str, Callable[[Inputs], Outcome]] = {
 }
 
 
-def python_formula(function: Callable[..., list], returns: str, kind: str, names: list[str]) -> Callable[[Inputs], Outcome]:
+def python_formula(function: Callable[..., list], returns: str, kind: str | dict[str, str], names: list[str]) -> Callable[[Inputs], Outcome]:
     """A formula from a Python function of plain values that returns a list of outputs; it runs on Arrow batches.
 
-    returns: Spark type of an output; kind: its type here; names: inputs in the order of the function's arguments.
+    returns: Spark type of an output, a struct if outputs are dicts; kind: its type here, or those of its fields; names: inputs in the order of the function's arguments.
     """
     @F.pandas_udf(f"array<{returns}>")
     def run(*columns: pd.Series) -> pd.Series:

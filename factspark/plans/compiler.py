@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass
 
@@ -143,7 +144,7 @@ class Compiler:
             if isinstance(x, Select):
                 return Select(swap(x.the), swap(x.of), swap(x.is_), x.type)
             if isinstance(x, Formula):
-                return Formula(x.name, {k: swap(t) for k, t in x.inputs.items()}, swap(x.output))
+                return Formula(x.name, {k: swap(t) for k, t in x.inputs.items()}, {k: swap(t) for k, t in x.output.items()} if isinstance(x.output, dict) else swap(x.output))
             if isinstance(x, Same):
                 return Same(swap(x.this), swap(x.as_))
             if isinstance(x, Apply):
@@ -255,13 +256,19 @@ class Compiler:
             return frame.where(F.size(out.column) > 0)
         if out.rows:
             # each output once for a row, so a key and the output are a key
-            new = is_var(c.output) and c.output not in frame.cols
-            keys = tuple(k | {c.output} for k in frame.keys) if new else frame.keys
+            new = {t for t in c.outputs() if is_var(t) and t not in frame.cols}
+            keys = tuple(k | new for k in frame.keys)
             frame = Frame(frame.df.select("*", F.explode(F.array_distinct(out.column)).alias(name)), frame.cols, keys)
         elif c.output is ABSENT and c.name != "==":
             return frame.where(out.column.isNotNull())
         else:
             frame = Frame(frame.df.withColumn(name, out.column), frame.cols, frame.keys)
+        if isinstance(c.output, dict):
+            frame = frame.where(F.col(name).isNotNull())
+            for field, term in c.output.items():
+                value = Bound(F.col(name)[field], out.type[field])
+                frame = frame.where(equal(value, frame.value(term))) if frame.has(term) else frame if term == WILDCARD else frame.bind(term, value)
+            return frame
         value = Bound(F.col(name), out.type)
         if c.name != "==" and out.type != "any":
             frame = frame.where(value.column.isNotNull())
@@ -314,6 +321,9 @@ class Compiler:
         if isinstance(c, Same):
             return equal(frame.value(c.this), frame.value(c.as_))
         out = self.outcome(frame, c)
+        if isinstance(c.output, dict):
+            same = lambda x: functools.reduce(Column.__and__, [equal(Bound(x[f], out.type[f]), frame.value(t)) for f, t in c.output.items() if t != WILDCARD], x.isNotNull())
+            return F.exists(out.column, same) if out.rows else same(out.column)
         if out.rows:
             return F.size(out.column) > 0 if c.output is ABSENT else F.exists(out.column, lambda x: equal(Bound(x, out.type), frame.value(c.output)))
         there = F.lit(True) if c.name == "==" else out.column.isNotNull()

@@ -36,14 +36,18 @@ class Star:
 
 @dataclass(frozen=True, eq=False)
 class Formula:
-    """A built-in or registered function of inputs; its outputs, none or several, are unified with `output`."""
+    """A built-in or registered function of inputs; its outputs, none or several, are unified with `output`: a term, or
+    names to terms for a function whose outputs are records."""
 
     name: str
     inputs: dict[str, object]
     output: object = ABSENT
 
+    def outputs(self) -> list:
+        return list(self.output.values()) if isinstance(self.output, dict) else [self.output]
+
     def vars(self) -> set[Var]:
-        return {t for t in (*self.inputs.values(), self.output) if is_var(t)}
+        return {t for t in (*self.inputs.values(), *self.outputs()) if is_var(t)}
 
 
 @dataclass(frozen=True, eq=False)
@@ -112,8 +116,9 @@ class Rule:
                 if v not in used and is_var(v):
                     raise ReferenceError(f'Rule case "{label}" does not bind variable {v} that rule matches as "{next(k for k, x in self.head.items() if x == v)}"')
             for c in body:
-                if isinstance(c, Formula) and is_var(c.output) and c.output in c.inputs.values():
-                    raise ReferenceError(f"Variable {c.output} cannot appear in both input and output of {c.name}")
+                both = [t for t in c.outputs() if is_var(t) and t in c.inputs.values()] if isinstance(c, Formula) else []
+                if both:
+                    raise ReferenceError(f"Variable {both[0]} cannot appear in both input and output of {c.name}")
 
     def apply(self, **args: object) -> Apply:
         return Apply(self, args)
@@ -161,7 +166,8 @@ def to_dict(node) -> dict:
     if isinstance(node, Select):
         return {"match": {k: v for k, v in (("the", node.the), ("of", node.of), ("is", node.is_)) if v is not ABSENT}}
     if isinstance(node, Formula):
-        return {"match": {**node.inputs, **({"is": node.output} if node.output is not ABSENT else {})}, "operator": node.name}
+        made = node.output if isinstance(node.output, dict) else {} if node.output is ABSENT else {"is": node.output}
+        return {"match": {**node.inputs, **made}, "operator": node.name}
     if isinstance(node, Same):
         return {"match": {"of": node.this, "is": node.as_}, "operator": "=="}
     if isinstance(node, Apply):

@@ -2,7 +2,9 @@
 
 import pytest
 from factspark import Data, Math, Ref, Relation, RelationSource, TripleSource, fact
+from factspark.functions import python_formula
 from factspark.operators import Fold, count_
+from factspark.plans.ir import Formula, Not
 from factspark.queries import QUERIES
 from factspark.values import float_text, float_text_of
 from pyspark.sql import functions as F
@@ -76,6 +78,24 @@ def test_fold_by_groups(spark):
     assert rows.groupBy("k").agg(count_()).count() == 3
 
 
+def test_formula_of_records(spark):
+    db = TripleSource.create(spark, [("p/text", "1", "a-b-c"), ("p/text", "2", "x"), ("p/text", "3", "q-q")])
+    cut = python_formula(lambda text: [{"at": i, "part": x} for i, x in enumerate(text.split("-"))], "struct<at:bigint,part:string>", {"at": "integer", "part": "string"}, ["of"])
+    P = fact("p", text=str)
+    Q = fact(text=str, at=int, part=str).where(lambda v: [P(text=v.text), Formula("cut", {"of": v.text}, {"at": v.at, "part": v.part})])
+    assert {tuple(r) for r in Q().query(db, {"cut": cut}).select("text", "at", "part").collect()} == {("a-b-c", 0, "a"), ("a-b-c", 1, "b"), ("a-b-c", 2, "c"), ("x", 0, "x"), ("q-q", 0, "q"), ("q-q", 1, "q")}
+    Second = fact(text=str, part=str).where(lambda v: [P(text=v.text), Formula("cut", {"of": v.text}, {"at": 1, "part": v.part})])
+    assert {tuple(r) for r in Second().query(db, {"cut": cut}).select("text", "part").collect()} == {("a-b-c", "b"), ("q-q", "q")}
+    Lone = fact(text=str).where(lambda v: [P(text=v.text), Not(Formula("cut", {"of": v.text}, {"at": 1}))])
+    assert {r.text for r in Lone().query(db, {"cut": cut}).collect()} == {"x"}
+
+
+def test_maps_of_maps(spark):
+    db = TripleSource.create(spark, [("p/n", "1", 3), ("p/n", "2", 4)])
+    twice = fact("p", n=int).map(lambda r: r["n"] * 2).map(lambda n: {"n": n + 1})
+    assert sorted(x["n"] for x in twice.query(db)) == [7, 9] == sorted(r.n for r in twice.frame(db, "n long").collect())
+
+
 def test_locals_are_no_members():
     with pytest.raises(TypeError):
         fact(a=int).with_(a=int)
