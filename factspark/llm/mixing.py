@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by hierarchical budgeting, with DataFrame functions only.
+"""Mixing sources to target weights by hierarchical budgeting, with DataFrame functions (but for very many leaves).
 
 Weights go down a tree (domain, language, source): each node divides its budget among its children by weight, and a
 child never gets more than its subtree holds. What a child can't take goes to its siblings first, as long as they hold
@@ -7,7 +7,7 @@ of its documents in seeded epochs that its budget pays for: every epoch is anoth
 
 Leaves may hold any number of documents: their order is a hash, and sums over slices of its range find the slice where
 a budget ends. Only documents of those slices are sorted, so no task gathers a hot leaf. The tree has a row for each
-leaf and is collected, with its size checked.
+leaf; up to MAX_LEAVES of them are budgeted by the driver, a larger tree level by level, a family in a task.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MAX_LEAVES = 1_000_000
 SLICES = 1 << 12
 Path = tuple
@@ -67,6 +70,28 @@ def budgets(held: dict[Path, int], total: int, weights: dict[Path, float], epoch
     return {leaf: out.get(leaf, 0) for leaf in held}
 
 
+def budget_table(leaves: DataFrame, names: list[str], total: int, weights: dict[Path, float], epochs: int) -> DataFrame:
+    """The same as a table: names, tokens and budget of each leaf. leaves: names and tokens."""
+    spark = leaves.sparkSession
+
+    def sharing(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def share(family: pd.DataFrame) -> pd.DataFrame:
+            paths = list(zip(*(family[n] for n in names[:depth])))
+            found = fill(int(family["budget"].iloc[0]), dict(zip(paths, map(int, family["capacity"]))), weights)
+            return pd.DataFrame([(*p, n) for p, n in found.items()], columns=[*names[:depth], "budget"])
+
+        return share
+
+    level = None
+    for depth in range(1, len(names) + 1):
+        kids = leaves.groupBy(*names[:depth]).agg(F.sum(F.col("tokens") * epochs).alias("capacity"))
+        above = names[: depth - 1]
+        kids = kids.join(level, above) if above else kids.withColumn("budget", F.lit(total).cast("long"))
+        schema = ", ".join(f"{n} string" for n in names[:depth]) + ", budget long"
+        level = cut(kids.groupBy(*(above or [F.lit(0).alias("root")])).applyInPandas(sharing(depth), schema), "budgets")
+    return level.join(leaves, names) if level is not None else spark.createDataFrame([], "tokens long, budget long")
+
+
 def word_count(text: Column) -> Column:
     """Runs of other bytes than ASCII white space."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit("[^ \t-\r]+"))).cast("long")
@@ -120,16 +145,25 @@ def mix(
         *(F.col(f"`{c}`").alias(f"mix_column{i}") for i, c in enumerate(docs_names)),
     )
     names = [f"mix_{n}" for n, _ in levels]
-    held = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*names).agg(F.sum("mix_tokens").alias("t")).limit(MAX_LEAVES + 1).collect()}
-    if len(held) > MAX_LEAVES:
-        raise ValueError(f"the tree has over {MAX_LEAVES} leaves")
+    leaves = rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
+    found = leaves.limit(MAX_LEAVES + 1).collect()
+    few = len(found) <= MAX_LEAVES
+    if not few:
+        leaves = cut(leaves, "leaves")
     if total is None:
-        total = int(sum(held.values()) * (1.0 if share is None else share))
-    plan = budgets(held, total, weights or {}, epochs)
+        whole = sum(r[-1] for r in found) if few else leaves.agg(F.sum("tokens")).first()[0]
+        total = int(whole * (1.0 if share is None else share))
     # each epoch but a leaf's last is whole: only what the last one takes is a prefix
-    paid = [(*leaf, e, min(n - e * held[leaf], held[leaf]), n - e * held[leaf] >= held[leaf]) for leaf, n in plan.items() for e in range(epochs) if n > e * held[leaf]]
-    pays = spark.createDataFrame(paid, ", ".join(f"{n} string" for n in names) + ", mix_epoch int, mix_budget long, mix_whole boolean")
-    taken = rows.join(F.broadcast(pays), names)
+    if few:
+        held = {tuple(r[:-1]): r[-1] for r in found}
+        plan = budgets(held, total, weights or {}, epochs)
+        paid = [(*leaf, e, min(n - e * held[leaf], held[leaf]), n - e * held[leaf] >= held[leaf]) for leaf, n in plan.items() for e in range(epochs) if n > e * held[leaf]]
+        pays = F.broadcast(spark.createDataFrame(paid, ", ".join(f"{n} string" for n in names) + ", mix_epoch int, mix_budget long, mix_whole boolean"))
+    else:
+        plan = budget_table(leaves, names, total, weights or {}, epochs).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+        left = F.col("budget") - F.col("mix_epoch") * F.col("tokens")
+        pays = plan.where(left > 0).select(*names, "mix_epoch", F.least(left, "tokens").alias("mix_budget"), (left >= F.col("tokens")).alias("mix_whole"))
+    taken = rows.join(pays, names)
     taken = taken.withColumn("mix_place", F.when(F.col("mix_whole"), F.lit(0)).otherwise(_order(seed, F.col("mix_epoch"), F.col("mix_id"), F.col("mix_text"))))
     taken = taken.withColumn("mix_slice", F.shiftright("mix_place", 60 - (SLICES.bit_length() - 1)).cast("int"))
     key = [*names, "mix_epoch"]
@@ -138,7 +172,7 @@ def mix(
     edge = sums.select(*key, "mix_slice", "t", "b", before.alias("before")).where("before < b").groupBy(*key).agg(F.max_by(F.struct("mix_slice", "before", "t", "b"), "mix_slice").alias("e"))
     edge = edge.select(*key, F.col("e.mix_slice").alias("mix_edge"), (F.col("e.b") - F.col("e.before")).alias("mix_left"))
     # a row for each leaf and epoch
-    marked = taken.join(F.broadcast(edge), key, "left")
+    marked = taken.join(F.broadcast(edge) if few else edge, key, "left")
     sure = marked.where("mix_whole or mix_slice < mix_edge")
     last = marked.where("not mix_whole and mix_slice = mix_edge")
     run = Window.partitionBy(*key).orderBy("mix_place", "mix_id", "mix_text").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,6 +60,17 @@ def test_mix_is_brute_force(spark, share, epochs):
     assert sorted(((x.doc_id, x.mix_epoch, x.mix_tokens, x.mix_leaf) for x in got.collect()), key=str) == brute(rows, total, weights, epochs, 9)
 
 
+def test_large_trees_are_budgeted_alike(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, "w " * r.randint(0, 30), r.choice(["web", "books", None]), r.choice(["en", "fr"]), f"s{r.randint(0, 9)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string")
+    weights = {("web",): 2.0, ("web", "fr"): 0.0, ("books", "en", "s1"): 5.0}
+    total = int(sum(len(x[1].split()) for x in rows) * 1.3)
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 7)
+    got = mixing.mix(df, LEVELS, total=total, weights=weights, epochs=2, seed=4)
+    assert sorted(((x.doc_id, x.mix_epoch, x.mix_tokens, x.mix_leaf) for x in got.collect()), key=str) == brute(rows, total, weights, 2, 4)
+
+
 def test_empty_table_and_names_in_the_way(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
