@@ -28,6 +28,8 @@ from .common import cut, discard, only_ids, pieces, small_batches
 from .graph import components
 
 BLOCK, FANOUT = 256, 16
+#: Blocks of a cluster that a task compares with the cluster's others.
+TOGETHER = 64
 #: At most so many frequent words and shingles are told apart in the order; their lists go to all tasks.
 FREQUENT = 1 << 18
 LEAST_FREQUENT = 32
@@ -304,11 +306,14 @@ def join(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id",
         label = F.coalesce("component", "rep")
         big = cut(placed.where("large").join(found, F.col("rep") == F.col("node"), "left").select("leader", "b2", "b3", "rep", "n", "m", label.alias("label")), "large")
         nodes = big.groupBy("leader", "b2", "b3").agg(F.min("m").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-        nodes = cut(nodes.withColumn("k", F.struct("b2", "b3")), "nodes")
-        x, y = nodes.alias("x"), nodes.alias("y")
+        # the blocks of a large cluster are dealt to several tasks, each of which meets all of the cluster's
+        parts = nodes.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+        nodes = cut(nodes.withColumn("k", F.struct("b2", "b3")).join(parts, "leader"), "nodes")
+        x = nodes.withColumn("deal", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).alias("x")
+        y = nodes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
         fits = (F.col("x.k") < F.col("y.k")) & (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num)
         differ = (F.least("x.l1", "y.l1") != F.greatest("x.l2", "y.l2"))
-        pairs = x.join(y, (F.col("x.leader") == F.col("y.leader")) & fits & differ).select(F.col("x.leader").alias("leader"), F.col("x.k").alias("kx"), F.col("y.k").alias("ky"))
+        pairs = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.deal") == F.col("y.deal")) & fits & differ).select(F.col("x.leader").alias("leader"), F.col("x.k").alias("kx"), F.col("y.k").alias("ky"))
         pairs = cut(pairs.withColumn("p", F.xxhash64("leader", "kx", "ky")), "pairs")
         ends = pairs.select("leader", "p", F.col("kx").alias("k"), F.lit(0).alias("side")).unionByName(pairs.select("leader", "p", F.col("ky").alias("k"), F.lit(1).alias("side")))
         seats = big.withColumn("k", F.struct("b2", "b3")).join(ends, ["leader", "k"]).select("leader", "p", "side", "rep", "label")

@@ -55,6 +55,7 @@ def test_join_is_brute_force(spark, seed, k, num, den):
 
 
 def test_large_cluster_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sigtree, "TOGETHER", 2)
     """A family of near copies in blocks of a few: those that the smallest one doesn't link meet in block pairs."""
     monkeypatch.setattr(sigtree, "BLOCK", 8)
     monkeypatch.setattr(sigtree, "LEAST_FREQUENT", 5)
