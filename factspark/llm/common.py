@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from . import textkit
 
 MAX_BITS = 1 << 28
+_LIBC = ctypes.CDLL(None)
 #: Rows of an Arrow batch; texts may be long, so far fewer than Spark's own default.
 BATCH_ROWS = 1000
 
@@ -59,8 +61,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
-    """Slices of a batch whose texts in `column` have about max_bytes together; one row at least."""
+def release() -> None:
+    """Give free memory back to the system: a worker that waits for its next task holds little then."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Slices of a batch whose texts in `column` have about max_bytes together; one row at least. After the last one free
+    memory is released."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
@@ -70,6 +80,7 @@ def pieces(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 4 <<
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()
 
 
 def only_ids(rows: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
