@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import cut, discard, pieces, small_batches
+from .common import cut, discard, pieces, release, small_batches
 
 LABELLED, ROUNDS = 20_000, 3
 CONFIDENT, LEAST_DOCUMENTS, HELD_OUT = 0.97, 4, 5
@@ -318,6 +318,8 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quali
     held_out = found["place"].to_numpy() % HELD_OUT == 0
     ids = np.unique(found["doc_id"].to_numpy())
     labels_of = {t: found[t].fill_null(-1).to_numpy().astype(np.int64) for t in targets}
+    del found
+    release()
     open_ = [t for t in targets if {0, 1} <= set(labels_of[t][~held_out].tolist())]
     known = {t: np.where(held_out, -1, labels_of[t]) for t in open_}
     views = {t: fit_views(text, meta, known[t]) for t in open_}
@@ -327,6 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quali
         for t in open_:
             exchanged[t].append(tuple(int(counts[t][i][:, -1].sum()) for i in (1, 0)))
             views[t] = fit_views(text, meta, known[t], [evidence_of(c) for c in counts[t]])
+        release()
         if not any(any(x[-1]) for x in exchanged.values()):
             break
     discard(spark, features)
@@ -334,6 +337,8 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quali
     for t in targets:
         y = labels_of[t]
         heads[t] = combine(views[t], text, meta, y, held_out, exchanged[t]) if t in open_ else Constant(float(((y == 1).sum() + 1) / ((y >= 0).sum() + 2)))
+    del text, meta, views
+    release()
     return Classifier(heads)
 
 
