@@ -23,6 +23,8 @@ from .textkit import mix
 
 FIRST_RATE, NEXT_RATE = 1 / 256, 1 / 2
 MAX_FILTER_BYTES, MAX_LEVELS = 256 << 20, 64
+#: Keys that a task at least puts into a level, as each task gives all words that it sets.
+TASK_KEYS = 1_000_000
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _PAIR = "low long, high long"
 
@@ -114,12 +116,9 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for n in ("low", "high"))
 
 
-def _level(keys: DataFrame, count: int, rate: float, number: int) -> Level:
-    """A filter over keys (low, high): set words are combined before and after one small shuffle."""
-    words = max(1, int(np.ceil(count * np.log2(1 / rate) * np.log2(np.e) / 64)))
-    if words * 8 > MAX_FILTER_BYTES:
-        raise ValueError(f"a filter of {count} keys takes {words * 8} bytes; at most {MAX_FILTER_BYTES} are sent to the tasks")
-    probes = max(1, round(np.log2(1 / rate)))
+def _set_words(keys: DataFrame, count: int, words: int, probes: int, number: int) -> DataFrame:
+    """word, bits: what tasks set in a level of so many words. However the count keys are dealt, few tasks set them, so that
+    they give about as many words as the level has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(words, np.uint64)
@@ -129,7 +128,16 @@ def _level(keys: DataFrame, count: int, rate: float, number: int) -> Level:
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["word", "bits"])
 
-    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return keys.coalesce(1 + count // TASK_KEYS).mapInArrow(run, "word long, bits long")
+
+
+def _level(keys: DataFrame, count: int, rate: float, number: int) -> Level:
+    """A filter over keys (low, high): set words are combined before and after one small shuffle."""
+    words = max(1, int(np.ceil(count * np.log2(1 / rate) * np.log2(np.e) / 64)))
+    if words * 8 > MAX_FILTER_BYTES:
+        raise ValueError(f"a filter of {count} keys takes {words * 8} bytes; at most {MAX_FILTER_BYTES} are sent to the tasks")
+    probes = max(1, round(np.log2(1 / rate)))
+    found = _set_words(keys, count, words, probes, number).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(words, np.uint64)
     bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return Level(bits, probes, number)

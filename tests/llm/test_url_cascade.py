@@ -57,6 +57,14 @@ def test_large_list(spark):
     assert got == {i: "block" if i % 2 == 0 and i // 2 * 40 < queries.LISTED_NUMBERED else "allow" for i in range(6000)}
 
 
+def test_a_level_gives_its_words_once_however_keys_are_dealt(spark):
+    low, high = url_cascade.hashed([str(i) for i in range(4000)])
+    keys = spark.createDataFrame(list(zip(low.astype("int64").tolist(), high.astype("int64").tolist())), "low long, high long").repartition(40)
+    level = url_cascade._level(keys, 4000, url_cascade.FIRST_RATE, 0)
+    assert url_cascade._set_words(keys, 4000, len(level.bits), level.probes, 0).count() <= len(level.bits)
+    assert level.holds(low, high).all()
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, host int")
     made = url_cascade.build_filter(pages, RULES, spark.createDataFrame([("h",)], "h string"))
