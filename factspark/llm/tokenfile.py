@@ -41,7 +41,7 @@ class Encoder:
     BPE that drops white space), each distinct stretch is encoded once and remembered."""
 
     #: Distinct stretches that are remembered and not looked up lately go beyond twice this number, which changes no result.
-    REMEMBERED = 300_000
+    REMEMBERED = 100_000
     _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: A full stop or comma after anything but an ASCII letter or digit, a letter from U+00C0 to U+00FF, or white space.
     _JOINED_SIGN = re.compile(rb"[.,](?:(?<=[!-/:-@\[-`{-\x7f\x00-\x08\x0e-\x1f].)|(?<=[\x80-\xff].)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")

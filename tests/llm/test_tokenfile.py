@@ -85,3 +85,10 @@ def test_lookup_reads_ends_and_frames_only(spark, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op7_token_files(spark, str(tmp_path)).collect() == []
+
+
+def test_encoder_remembers_a_bounded_number():
+    e = tokenfile.Encoder(PATH)
+    for i in range(30):
+        e.encode([" ".join(f"w{8000 * i + j}" for j in range(8000))])
+    assert len(e.known) + len(e.older) <= 2 * (100_000 + 8000)
